@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .exact_dedup import exact_dedup
+from .packing import pack, pieces
+from .places import tokenizer
 from .scratch import table
 
 
@@ -10,7 +12,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup,)}
+def op8_best_fit_packing(spark, sf_dir):
+    return pack(pieces(table(spark, sf_dir, "documents"), *tokenizer()))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_best_fit_packing)}
 
 SQL = {
     "op2_exact_dedup": r"""
