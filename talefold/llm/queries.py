@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .packing import pack, pieces
 from .places import tokenizer
 from .scratch import table
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,9 +26,29 @@ def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_best_fit_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op8_best_fit_packing, op9_decontamination)}
 
 SQL = {
+    "op1_minhash_dedup": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id AS id, doc_id AS low FROM t
+  UNION
+  SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b
+), m AS (SELECT id, min(low) AS component_id FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = t.doc_id AS kept
+FROM t JOIN m ON m.id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
+""",
     "op2_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
