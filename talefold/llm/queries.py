@@ -7,7 +7,9 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack, pieces
 from .places import tokenizer
+from .quality import quality
 from .scratch import table
+from .toxicity import toxicity
 
 
 def op1_minhash_dedup(spark, sf_dir):
@@ -18,6 +20,14 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return pack(pieces(table(spark, sf_dir, "documents"), *tokenizer()))
 
@@ -26,7 +36,7 @@ def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op8_best_fit_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op6_quality, op8_best_fit_packing, op9_decontamination)}
 
 SQL = {
     "op1_minhash_dedup": r"""
