@@ -10,6 +10,7 @@ from .packing import pack, pieces
 from .places import tokenizer
 from .quality import quality
 from .scratch import table
+from .suffix_dedup import digests as removals
 from .toxicity import toxicity
 
 
@@ -36,6 +37,10 @@ def op6_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return removals(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return pack(pieces(table(spark, sf_dir, "documents"), *tokenizer()))
 
@@ -44,7 +49,7 @@ def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op5_chat_formatting, op6_quality, op8_best_fit_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op5_chat_formatting, op6_quality, op7_suffix_dedup, op8_best_fit_packing, op9_decontamination)}
 
 SQL = {
     "op1_minhash_dedup": r"""
