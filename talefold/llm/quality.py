@@ -135,15 +135,26 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return Model(x[one], x[~one], prior)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+    """A function of a text column that gives its score, by a model fitted on docs and labels."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = fit(texts, labels, positives, unlabelled)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch["text"]], np.float32).reshape(-1, N_STATISTICS)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model(x)})
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(model(np.array([statistics(t) for t in text], np.float32).reshape(-1, N_STATISTICS)))
+
+    return score
 
-    scored = texts.mapInPandas(run, "doc_id long, score double")
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, **sizes: int) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    score = scorer(docs, labels, id_col, text_col, **sizes)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, **sizes: int) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted to be good."""
+    score = scorer(docs, labels, id_col, text_col, **sizes)
+    return docs.where(score(F.col(text_col).cast("string")) >= cutoff)
