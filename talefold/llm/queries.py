@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import digests
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .minhash import near_duplicates
 from .packing import pack, pieces
 from .places import tokenizer
@@ -26,6 +27,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op5_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -49,7 +54,7 @@ def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op5_chat_formatting, op6_quality, op7_suffix_dedup, op8_best_fit_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op4_html_text, op5_chat_formatting, op6_quality, op7_suffix_dedup, op8_best_fit_packing, op9_decontamination)}
 
 SQL = {
     "op1_minhash_dedup": r"""
