@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+@functools.cache
+def _own(application: str) -> str:
+    """A temporary folder of a local application."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder under `spark.checkpoint.dir`, which all executors share.
 
@@ -22,8 +29,7 @@ def folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
