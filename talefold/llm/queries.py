@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .minhash import near_duplicates
 from .packing import pack, pieces
+from .pii import replace_private
 from .places import tokenizer
 from .quality import quality
 from .scratch import table
@@ -54,7 +55,11 @@ def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op4_html_text, op5_chat_formatting, op6_quality, op7_suffix_dedup, op8_best_fit_packing, op9_decontamination)}
+def op10_pii_surrogates(spark, sf_dir):
+    return replace_private(table(spark, sf_dir, "documents"), key="a key that the owner of the corpus keeps")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_toxicity, op4_html_text, op5_chat_formatting, op6_quality, op7_suffix_dedup, op8_best_fit_packing, op9_decontamination, op10_pii_surrogates)}
 
 SQL = {
     "op1_minhash_dedup": r"""
