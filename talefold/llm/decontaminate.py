@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS
+from .scratch import BROADCAST_ROWS, cut
 
 SPAN, K = 10, 5
 #: Fixed values of the word pattern: what is not in these ranges is part of a word.
@@ -39,37 +39,49 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def grams(n: int) -> Column:
-    """Hash of each run of n words."""
-    return F.expr(f"IF(n < {n}, array(), transform(sequence(1, n - {n} + 1), i -> xxhash64(slice(words, i, {n}))))")
-
-
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_, text = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(id_.alias("id"), F.xxhash64(id_, text).alias("k"), text.alias("text"))
 
 
 def _cut_words(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "k", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    cut = rows.select("id", "k", words(F.col("text")).alias("words"))
+    return cut.select("id", "k", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+
+def _placed(rows: DataFrame, n: int) -> DataFrame:
+    """A row with `s` for each place, from 1, where a run of n words starts."""
+    places = F.expr(f"IF(size(hashes) < {n}, CAST(array() AS array<int>), sequence(1, size(hashes) - {n - 1}))")
+    each = rows.select("id", "k", "words", "hashes", F.explode_outer(places).alias("s")).where("s IS NOT NULL")
+    # Known not to be null, it makes Spark test nothing that is built on it.
+    return each.withColumn("s", F.coalesce("s", F.lit(0)))
+
+
+def _gram(start: int, n: int) -> str:
+    """Hash of the n words from s + start on."""
+    return f"xxhash64({', '.join(f'hashes[s + {start + j - 1}]' for j in range(n))})"
 
 
 def fingerprints(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """id, k, words, n, at, key: each kept k-gram's place and hash."""
+    """id, k, words, at, key of each window's kept k-gram: its place and hash.
+
+    The offset in the window stands in a hash's low bits, so the least one tells it.
+    """
     w = span - k + 1
-    least = f"transform(sequence(1, n - {span} + 1), s -> s - 1 + array_position(slice(h, s, {w}), array_min(slice(h, s, {w}))))"
-    kept = F.expr(f"IF(n < {span}, array(), array_distinct({least}))")
-    placed = rows.where(f"n >= {span}").withColumn("h", grams(k)).select("id", "k", "words", "n", "h", F.explode(kept).alias("at"))
-    return placed.withColumn("key", F.expr("h[int(at) - 1]")).drop("h")
+    low = (1 << max(1, (w - 1).bit_length())) - 1
+    least = F.expr(f"least({', '.join(f'({_gram(j, k)} & ~{low}L) | {j}L' for j in range(w))})")
+    kept = _placed(rows, span).select("id", "k", "words", "s", least.alias("least"))
+    return kept.select("id", "k", "words", F.expr(f"s + int(least & {low}L)").alias("at"), F.expr(f"least & ~{low}L").alias("key"))
 
 
 def _around(side: str, span: int, k: int) -> list[Column]:
     """The k-gram, the words before it (nearest first) and after it."""
     reach = span - k
-    low = f"greatest(1, int(at) - {reach})"
+    low = f"greatest(1, at - {reach})"
     return [
-        F.expr(f"slice(words, int(at), {k})").alias(f"{side}_gram"),
-        F.expr(f"reverse(slice(words, {low}, int(at) - {low}))").alias(f"{side}_before"),
-        F.expr(f"slice(words, int(at) + {k}, {reach})").alias(f"{side}_after"),
+        F.expr(f"slice(words, at, {k})").alias(f"{side}_gram"),
+        F.expr(f"reverse(slice(words, {low}, at - {low}))").alias(f"{side}_before"),
+        F.expr(f"slice(words, at + {k}, {reach})").alias(f"{side}_after"),
     ]
 
 
@@ -89,29 +101,30 @@ def _runs(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
         hits = found.join(F.broadcast(known), "key").select("id", "k", "at", "item_id", "item_gram", "item_before", "item_after", *_around("doc", span, k))
     else:
         hits = found.select("id", "k", "at", "key", *_around("doc", span, k)).join(known, "key")
+    hits = cut(hits)  # few; and what runs for every window stays a method small enough to be compiled
     reach = span - k
     before, after = _agreed("doc_before", "item_before", reach), _agreed("doc_after", "item_after", reach)
-    ends = hits.where("doc_gram = item_gram").select("id", "k", "item_id", F.expr(f"int(at) - {before}").alias("start"), F.expr(f"int(at) + {k} + {after}").alias("stop"))
+    ends = hits.where("doc_gram = item_gram").select("id", "k", "item_id", F.expr(f"at - {before}").alias("start"), F.expr(f"at + {k} + {after}").alias("stop"))
     return ends.where(f"stop - start >= {span}")
 
 
 def _whole(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The same for items of exactly n words."""
-    known = items.where(F.col("n") == n).select(F.col("id").alias("item_id"), "words", F.xxhash64("words").alias("key")).distinct()
-    each = docs.where(f"n >= {n}").withColumn("h", grams(n)).select("id", "k", "words", "n", F.posexplode("h").alias("at", "key"))
-    run = F.expr(f"slice(words, at + 1, {n})").alias("run")
+    known = items.where(F.size("words") == n).select(F.col("id").alias("item_id"), F.col("words").alias("own"), F.expr(_gram(0, n).replace("s + ", "1 + ")).alias("key")).distinct()
+    each = _placed(docs, n).select("id", "k", "words", F.col("s").alias("at"), F.expr(_gram(0, n)).alias("key"))
+    run = F.expr(f"slice(words, at, {n})").alias("run")
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = each.join(F.broadcast(known.withColumnRenamed("words", "own")), "key").select("id", "k", "at", "item_id", "own", run)
+        hits = each.join(F.broadcast(known), "key").select("id", "k", "at", "item_id", "own", run)
     else:
-        hits = each.select("id", "k", "at", "key", run).join(known.withColumnRenamed("words", "own"), "key")
-    return hits.where("own = run").select("id", "k", "item_id", (F.col("at") + 1).alias("start"), (F.col("at") + 1 + n).alias("stop"))
+        hits = each.select("id", "k", "at", "key", run).join(known, "key")
+    return hits.where("own = run").select("id", "k", "item_id", F.col("at").alias("start"), (F.col("at") + n).alias("stop"))
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, k (hash of id and text), item_id, start, stop (word places, from 1) of all shared runs."""
     docs, items = _cut_words(_rows(docs, id_col, text_col)), _cut_words(_rows(items, item_id, item_text))
     found = _runs(docs, items, span, k)
-    for (n,) in items.where(f"n BETWEEN 1 AND {span - 1}").select("n").distinct().collect():  # fewer than span
+    for (n,) in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct().collect():  # fewer than span
         found = found.unionByName(_whole(docs, items, n))
     return found
 
