@@ -10,10 +10,13 @@ the full sets. A pair at the threshold shares none of the 32 bands with a
 probability below 1e-5.
 
 No bucket's pairs are enumerated. Documents of one and the same set are first
-one class. Each class is then compared with the smallest id of its buckets, the
-confirmed links are joined to components, and only what a bucket still holds
-outside its largest component is compared with the bucket's rest. So every pair
-in a bucket is either compared or already connected.
+one class. In each bucket the class that shares most with others is the hub. Each
+class is confirmed with the hub that it is estimated to be nearest to, and these
+links are joined to components. Only
+what a bucket still holds outside its largest component is compared with the bucket's
+rest, by longer signatures (2048 minima of one bit) whose estimate is far tighter;
+pairs that pass it, each found in the first bucket that it shares, are confirmed as
+well. So every pair in a bucket is either compared or already connected.
 
 Defined cases: a null text is empty; a text without words has an empty set and
 is linked with nothing; with fewer than five words, the whole sequence is its one
@@ -38,6 +41,8 @@ from .shingles import mix, shingles
 
 PERCENT, WORDS = 75, 5
 BANDS, ROWS, BITS = 32, 4, 2
+#: Minima of one bit in the longer signatures; their estimates below TIGHT are over four standard errors below 0.75.
+LONG, TIGHT = 2048, 0.685
 #: Estimates below this are over five standard errors below 0.75 with 128 minima of two bits.
 LEAST_ESTIMATE = 0.5
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"
@@ -92,6 +97,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """id, sketch: one low bit of each of LONG minima, for docs(doc_id, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [signature(shingles(t, words), LONG, 1, 1)[1] for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["doc_id"], "sketch": found})
+
+    return docs.mapInPandas(run, "id long, sketch array<long>")
+
+
 def estimate(a: str, b: str, n: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity estimated from the bit planes in columns a and b."""
     per = n // 64
@@ -135,22 +151,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     planes = classes.select("id", "planes")
 
     placed = classes.select("id", F.explode("bands").alias("key"))
-    hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = cut(placed.join(hubs, "key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(placed.join(sizes, "key"))
+    # Of near copies, the one that is the least changed is in the most and largest buckets: it is their hub.
+    central = shared.join(shared.groupBy("id").agg(F.sum("c").alias("score")), "id")
+    hubs = central.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("h")).select("key", (-F.col("h.id")).alias("hub"))
+    members = cut(shared.drop("c").join(hubs, "key"))
     to_hub = members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     signed_pairs = to_hub.join(planes.select(F.col("id").alias("a"), F.col("planes").alias("x")), "a").join(planes.select(F.col("id").alias("b"), F.col("planes").alias("y")), "b")
-    first = cut(signed_pairs.where(estimate("x", "y") >= LEAST_ESTIMATE).groupBy("a").agg(F.min("b").alias("b")))
+    near = signed_pairs.withColumn("like", estimate("x", "y")).where(F.col("like") >= LEAST_ESTIMATE)
+    first = cut(near.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")))
     links = cut(confirm(first, texts, percent, words))
 
     known = components(links)
     labelled = cut(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main")).where("n > 1").drop("n")
-    mixed = cut(labelled.join(parts, "key").join(planes, "id"))
-    loose = mixed.where("component != main").select("key", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("planes").alias("x"))
-    rest = mixed.select("key", F.col("id").alias("q"), F.col("component").alias("cq"), "main", F.col("planes").alias("y"))
-    open_ = loose.join(rest, "key").where((F.col("cp") != F.col("cq")) & ((F.col("cq") == F.col("main")) | (F.col("p") < F.col("q"))) & (estimate("x", "y") >= LEAST_ESTIMATE))
-    open_ = open_.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-    more = cut(confirm(cut(open_.join(first, ["a", "b"], "left_anti")), texts, percent, words))
+    mixed = cut(labelled.join(parts, "key"))
+    unsure = texts.join(small(mixed.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    mixed = cut(mixed.join(sketches(unsure, words), "id").join(classes.select("id", "bands"), "id"))
+    p, q = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "bands", "sketch")] for side in "pq")
+    pair = mixed.where("component != main").select("key", *p).join(mixed.select("key", "main", *q), "key")
+    once = "component_p != component_q AND (component_q = main OR id_p < id_q)"
+    pair = pair.where(F.expr(once) & (estimate("sketch_p", "sketch_q", LONG, 1) >= TIGHT) & F.expr("array_min(array_intersect(bands_p, bands_q)) = key"))
+    open_ = pair.select(F.greatest("id_p", "id_q").alias("a"), F.least("id_p", "id_q").alias("b"))
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = cut(confirm(cut(open_.join(tried, ["a", "b"], "left_anti")), texts, percent, words))
     if not more.isEmpty():
         known = components(links.unionByName(more))
 
