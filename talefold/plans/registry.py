@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import transcripts
+from . import catalog, notes, operations, transcripts
 
-MODULES = (transcripts,)
+MODULES = (transcripts, notes, operations, catalog)
 
 
 def queries() -> dict:
