@@ -97,7 +97,7 @@ def _runs(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     """id, k, item_id, start, stop of every run of at least span words that a document shares with an item."""
     known = fingerprints(items, span, k).select(F.col("id").alias("item_id"), "key", *_around("item", span, k)).distinct()
     found = fingerprints(docs, span, k)
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if known.count() <= BROADCAST_ROWS:
         hits = found.join(F.broadcast(known), "key").select("id", "k", "at", "item_id", "item_gram", "item_before", "item_after", *_around("doc", span, k))
     else:
         hits = found.select("id", "k", "at", "key", *_around("doc", span, k)).join(known, "key")
@@ -113,7 +113,7 @@ def _whole(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     known = items.where(F.size("words") == n).select(F.col("id").alias("item_id"), F.col("words").alias("own"), F.expr(_gram(0, n).replace("s + ", "1 + ")).alias("key")).distinct()
     each = _placed(docs, n).select("id", "k", "words", F.col("s").alias("at"), F.expr(_gram(0, n)).alias("key"))
     run = F.expr(f"slice(words, at, {n})").alias("run")
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if known.count() <= BROADCAST_ROWS:
         hits = each.join(F.broadcast(known), "key").select("id", "k", "at", "item_id", "own", run)
     else:
         hits = each.select("id", "k", "at", "key", run).join(known, "key")
