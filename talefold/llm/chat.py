@@ -1,6 +1,6 @@
 """Chat formatting of reply trees.
 
-Messages name the message they answer. Paths from roots to leaves grow by
+Messages name the message they answer. Paths from roots to leaves are followed by
 iterative self-joins that double the known stretch above each message, so a
 path of n messages takes log2(n) joins. Of a tree's paths, the one of the best
 total score is chosen (ties: the longer, then the least leaf), and formatted as
@@ -43,49 +43,55 @@ def linear(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, nodes (root first), score of every path from a root to a leaf of messages(tree, node, parent, score).
+def _tree(c: str = "tree") -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias("tree")
 
-    Ids alone are joined; texts stay behind.
+
+def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """State tree, node, depth, score of every message that a root reaches, and jump tables.
+
+    The r-th jump table leads from a message to the one 2**r above it. A message's row
+    holds numbers alone, whatever its depth, and only messages that have not reached
+    their root are joined again. More steps than there are messages mean a cycle.
     """
-    rows = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("t"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = rows.select("t", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
-    rows = rows.join(known, ["t", "parent"], "left")
-    state = cut(rows.select("t", "node", F.when(F.col("known"), F.col("parent")).alias("above"), F.array("node").alias("nodes"), "score"))
-    leaves = None
+    rows = messages.select(_tree(), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    rows = rows.join(known, ["tree", "parent"], "left")
+    state = cut(rows.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), "score", F.lit(1).cast("long").alias("depth")))
+    most, jumps = state.count(), []
     while True:
         open_ = state.where("above IS NOT NULL")
-        left = open_.count()
-        if leaves is None:
-            inner = open_.select("t", F.col("above").alias("node")).distinct()
-            leaves = cut(state.select("t", "node").join(inner, ["t", "node"], "left_anti").distinct())
-        if not left:
-            break
-        top = state.select("t", F.col("node").alias("above"), F.col("above").alias("next"), F.col("nodes").alias("over"), F.col("score").alias("more"))
-        joined = state.join(top, ["t", "above"], "left")
-        longer = cut(
-            joined.select(
-                "t",
-                "node",
-                F.col("next").alias("above"),
-                F.when(F.col("over").isNull(), F.col("nodes")).otherwise(F.concat("over", "nodes")).alias("nodes"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            ).where("NOT exists(slice(nodes, 1, size(nodes) - 1), x -> x = node)")
-        )
-        state = longer
-    return state.join(leaves, ["t", "node"]).select(F.col("t").alias("tree"), F.col("node").alias("leaf"), "nodes", "score")
-
-
-def best_paths(found: DataFrame) -> DataFrame:
-    """The chosen path of each tree."""
-    rank = F.struct("score", F.size("nodes").alias("n"), (-F.col("leaf")).alias("leaf"))
-    return found.groupBy("tree").agg(F.max_by(F.struct("leaf", "nodes"), rank).alias("p")).select("tree", "p.leaf", "p.nodes")
-
-
-def formatted(messages: DataFrame, chosen: DataFrame, start: str = START, end: str = END, speaks: str = ASSISTANT) -> DataFrame:
-    """tree, leaf, output, loss (array of start, length) of chosen(tree, leaf, nodes)."""
-    steps = chosen.select("tree", "leaf", F.posexplode("nodes").alias("at", "node"))
-    texts = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("tree"), "node", "role", "text")
+        if open_.isEmpty():
+            return state.drop("above"), jumps
+        jumps.append(open_.select("tree", "node", "above"))
+        over = state.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("rest"))
+        higher = open_.join(over, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("rest")).alias("depth"))
+        state = cut(state.where("above IS NULL").unionByName(higher.where(F.col("depth") <= most)))
+
+
+def leaf_scores(messages: DataFrame, state: DataFrame) -> DataFrame:
+    """tree, leaf, depth, score of every path from a root to a leaf."""
+    inner = messages.select(_tree(), F.col("parent").alias("node")).distinct()
+    return state.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "depth", "score")
+
+
+def best_leaves(found: DataFrame) -> DataFrame:
+    """The chosen path of each tree, by its leaf."""
+    return found.groupBy("tree").agg(F.max_by("leaf", F.struct("score", "depth", (-F.col("leaf")).alias("leaf"))).alias("leaf"))
+
+
+def walk(chosen: DataFrame, state: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """tree, leaf, at, node: all messages on the chosen paths; the longest jumps first, each doubles what is known."""
+    seen = chosen.select("tree", "leaf", F.col("leaf").alias("node"))
+    for jump in reversed(jumps):
+        seen = cut(seen)
+        seen = seen.unionByName(seen.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node")))
+    return seen.join(state.select("tree", "node", F.col("depth").alias("at")), ["tree", "node"])
+
+
+def formatted(messages: DataFrame, steps: DataFrame, start: str = START, end: str = END, speaks: str = ASSISTANT) -> DataFrame:
+    """tree, leaf, output, loss (array of start, length) of steps(tree, leaf, at, node)."""
+    texts = messages.select(_tree(), "node", "role", "text")
     rows = steps.join(texts, ["tree", "node"])
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     turn = F.struct("at", F.concat(F.lit(start), role, F.lit("\n")).alias("head"), text.alias("body"), F.concat(F.lit(end), F.lit("\n")).alias("tail"), F.coalesce(F.col("role") == speaks, F.lit(False)).alias("mask"))
@@ -122,11 +128,12 @@ def _literal(mark: str) -> str:
 def digests(turns: DataFrame, **columns: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of linear conversations."""
     messages = cut(linear(turns, **columns))
-    back = read_back(formatted(messages, best_paths(paths(messages))))
+    state, jumps = climb(messages)
+    back = read_back(formatted(messages, walk(best_leaves(leaf_scores(messages, state)), state, jumps)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join("masked", "")
     return back.select(
-        F.col("tree").cast("long").alias("conv_id"),
+        F.col("tree").try_cast("long").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"),
