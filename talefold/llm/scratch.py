@@ -27,7 +27,7 @@ def folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
