@@ -1,13 +1,15 @@
 """Layout-aware text of HTML pages.
 
 A small tree builder closes tags that HTML lets authors leave open (paragraphs,
-list items, table parts, options), ignores end tags that match nothing, and closes
-what a matching end tag leaves open. What is not shown is dropped with all it
+list items, table parts, options; the head, at the first thing that can't stand in
+it), ignores end tags that match nothing, and closes what a matching end tag leaves
+open. What is not shown is dropped with all it
 holds: head, script, style and the like, comments, `hidden`, and inline styles that
 hide. The renderer then writes the visible text: inline text with blanks squeezed,
 one line per block, an empty line around paragraphs, headings and the like, list
 items behind a dash or their number, indented by depth, preformatted text as it
-is, and table cells padded to the width of their columns.
+is, and table cells padded to the width of their columns. Cells count as such behind
+other elements too; what stands in a table outside its cells comes out before it.
 
 Defined cases: null and empty pages give an empty text; text outside any tag is
 kept; unknown tags are inline; repeated rows repeat; an empty table gives an
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist select title noembed noframes".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure ul ol dl hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp table figure ul ol dl hr".split())
 BLOCKS = SPACED | frozenset("html body div article section nav aside header footer main address form fieldset details summary figcaption li dt dd tr td th thead tbody tfoot caption legend option".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())
 #: A start tag of the key closes an open tag of the values, unless one of the bars stands between.
 _TABLE = frozenset(["table"])
 CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
@@ -42,6 +46,7 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "body": (frozenset(["head"]), frozenset()),
 }
 ENDS_P = (BLOCKS - frozenset("html body li dt dd tr td th thead tbody tfoot caption option legend summary".split())) | frozenset(["li", "dt", "dd"])
+CELLS, SECTIONS = frozenset(["td", "th"]), frozenset(["thead", "tbody", "tfoot"])
 P, SCOPE = frozenset(["p"]), frozenset("table td th caption button".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -83,15 +88,20 @@ def build(page: str) -> Node:
                 return None
         return None
 
+    def add(text: str) -> None:
+        if stack[-1].tag == "head" and BLANKS.sub("", text):
+            stack.pop()
+        stack[-1].children.append(text)
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
         at, tag = m.end(), m[2]
         if tag is None:
             if m[0][0] != "<" or len(m[0]) == 1:
-                stack[-1].children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
+                add(html.unescape(m[0]) if "&" in m[0] else m[0])
             elif m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
@@ -102,6 +112,8 @@ def build(page: str) -> Node:
                 if stack[k].tag == "table" and tag not in ("body", "html"):
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in ENDS_P:
             close(P, SCOPE)
         if tag in CLOSES:
@@ -111,7 +123,7 @@ def build(page: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag == "textarea":
+            if tag in ("textarea", "xmp"):
                 node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
@@ -141,28 +153,45 @@ class Lines:
         self.out.append(line)
 
 
+def _around_cells(table: Node) -> set[int]:
+    """The id() of each element that rows or cells of the table stand in."""
+    below: list[tuple[Node, Node]] = []
+    todo = [table]
+    while todo:
+        x = todo.pop()
+        inner = [c for c in x.children if not isinstance(c, str) and c.seen and c.tag != "table"]
+        below += [(c, x) for c in inner]
+        todo += [c for c in inner if c.tag not in CELLS]
+    found: set[int] = set()
+    for c, x in reversed(below):
+        if c.tag == "tr" or c.tag in CELLS or id(c) in found:
+            found.add(id(x))
+    return found
+
+
 def _table(node: Node) -> list[str]:
-    """Rows of a table with cells in columns of even width."""
+    """Rows of a table with cells in columns of even width, behind what stands outside its cells."""
     rows: list[list[str]] = []
     titles: list[str] = []
+    around = _around_cells(node)
+    todo: list[tuple[Node | str, list[str] | None]] = [(c, None) for c in reversed(node.children)]
+    while todo:
+        c, row = todo.pop()
+        if isinstance(c, str):
+            titles.append(" ".join(c.split()))
+        elif not c.seen:
+            continue
+        elif c.tag in CELLS:
+            if row is None:
+                rows.append(row := [])
+            row.append(" ".join(render(c).split()))
+        elif c.tag == "tr" or c.tag in SECTIONS or id(c) in around:
+            if c.tag == "tr":
+                rows.append(row := [])
+            todo += [(k, row) for k in reversed(c.children)]
+        else:
+            titles.append(" ".join(render(c).split()))
 
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                if c.strip():
-                    titles.append(" ".join(c.split()))
-            elif not c.seen:
-                continue
-            elif c.tag == "tr":
-                rows.append([" ".join(render(k).split()) for k in c.children if not isinstance(k, str) and k.seen and k.tag in ("td", "th")])
-            elif c.tag in ("td", "th"):
-                rows.append([" ".join(render(c).split())])
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                walk(c)
-            else:
-                titles.append(" ".join(render(c).split()))
-
-    walk(node)
     widths = [max((len(r[k]) for r in rows if len(r) > k), default=0) for k in range(max(map(len, rows), default=0))]
     return [t for t in titles if t] + [" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows if any(r)]
 
@@ -185,7 +214,7 @@ def _into(node: Node, lines: Lines, depth: int = 0) -> None:
             elif c.seen and c.tag == "hr":
                 lines.end()
                 lines.space = True
-            elif c.seen and c.tag == "pre":
+            elif c.seen and c.tag in ("pre", "xmp"):
                 lines.end()
                 lines.space = True
                 for line in plain(c).strip("\n").split("\n"):

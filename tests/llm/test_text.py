@@ -101,6 +101,25 @@ def test_pages():
     assert len(page_text("<div>" * 5000 + "deep" + "<li>x" * 3000)) > 3000
 
 
+def test_pages_with_an_open_head():
+    assert page_text("<head><title>t</title><p>Hello") == page_text("<html><head><meta charset=x> \n<script>s</script>Hello") == "Hello"
+    assert page_text("<head><![CDATA[Hello]]></head> all") == "Hello all" and page_text("<head><style>s</style>&nbsp;") != "Hello"
+    assert page_text("<head><noscript><p>no</noscript><link rel=x><template>no</template></head><body>yes") == "yes"
+    assert page_text("<head><html><head><title>t</title><div>Hello") == "Hello"
+
+
+def test_pages_with_text_around_cells():
+    assert page_text("<table><tr><form><td>a</td><td>b</td></form><tr><td>cc<td>d</table>") == "a  | b\ncc | d"
+    assert page_text("<table><form><tr><td>a<td>b</tr></form></table>") == "a | b"
+    assert page_text("<table><tr>one<b>two</b><td>a</td><div>three<span><th>b</th></span></div><div hidden>no<td>no</td></div></tr></table>") == "one\ntwo\nthree\na | b"
+    assert page_text("<table><tr><table><tr><td>in</table><td>out</table>") == "in\nout"
+    assert page_text("<table><tr>" + "<span>" * 5000 + "<td>deep") == "deep"
+
+
+def test_pages_with_examples():
+    assert page_text("<p>a<xmp>x  <b>&amp;\n  y</xmp>z") == "a\n\nx  <b>&amp;\n  y\n\nz"
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (2, None, "x"), (2, None, "x")], "page_id long, html string, text string")
     assert sorted(map(tuple, html_text(pages).collect())) == [(1, "a", 1), (2, "", 0), (2, "", 0)]
