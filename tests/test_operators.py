@@ -116,6 +116,13 @@ def test_purge_keeps_what_is_referred_to(spark):
     assert {r.purge_id: (r.n_purgeable, r.ready) for r in lifecycle.purge_plan(intents, refs).collect()} == {"p": (1, False), "q": (2, True)}
 
 
+def test_every_benchmark_case_gets_runs(spark, tmp_path):
+    spark.createDataFrame([(i, "some benchmark passage") for i in range(57)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "web", "benchmark") for i in range(114)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.case_id for r in registry.queries()["stt_case_hits"](spark, str(tmp_path)).collect()) == sorted([*range(57)] * 2)
+    assert {r.model: r.n_cases for r in registry.queries()["stt_report"](spark, str(tmp_path)).collect()} == {"web": 114, "all": 114}
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     from talefold.streaming import jobs as streaming
 
