@@ -4,6 +4,10 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 a DataFrame, which is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents; rows that a stage rejects are gone for
 the next one.
+
+Each stage decides on texts, not on ids: further texts of a repeated id and texts of a
+null id are judged, kept and rejected by themselves, and stand behind all others where
+the least id wins. Of rows of one id and one text, exact deduplication keeps one.
 """
 
 from __future__ import annotations
@@ -20,9 +24,60 @@ from talefold.llm.quality import accepted
 from talefold.llm.scratch import cut, small, table
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less the rejected ids, which go to the join as a bounded broadcast or by a shuffle."""
-    return docs.join(small(cut(rejected.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+#: Columns that the stages add inside: an id of a row's id and text, and the text's hash.
+OWN, HASH = "_own_id", "_text_md5"
+LOW = (1 << 33) - 1
+
+
+def _doubtful(docs: DataFrame) -> DataFrame:
+    """The ids that do not tell rows apart: repeated ones and null."""
+    return cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(HASH, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+
+def _join(docs: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """docs joined null-safely on all columns that others shares with it; others may go as a bounded broadcast."""
+    keys = [c for c in others.columns if c in docs.columns]
+    named = small(others.withColumnsRenamed({c: f"_of_{c}" for c in keys}))
+    on = F.lit(True)
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return docs.join(named, on, how)
+
+
+def _one_of_equals(docs: DataFrame) -> DataFrame:
+    """docs with one row of each id and text."""
+    doubtful = _doubtful(docs)
+    if doubtful.isEmpty():
+        return docs
+    ids = _join(_hashed(docs.select("doc_id", "text")), doubtful, "left_semi")
+    equal = cut(ids.groupBy("doc_id", HASH).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", HASH))
+    one = _join(_hashed(docs), equal, "left_semi").groupBy("doc_id", HASH).agg(F.max(F.struct(*docs.columns)).alias("row"))
+    return _join(_hashed(docs), equal, "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with OWN, which tells its texts apart: the id, or for null and all but one text of an id a number behind all ids."""
+    doubtful = _doubtful(docs)
+    if doubtful.isEmpty():
+        return docs.withColumn(OWN, F.col("doc_id"))
+    texts = cut(_join(_hashed(docs.select("doc_id", "text")), doubtful, "left_semi").select("doc_id", HASH).distinct())
+    first = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(HASH).alias(HASH))
+    further = cut(_join(texts, first, "left_anti").withColumn("at", F.monotonically_increasing_id()))
+    # Numbers of all parts lie as close as the largest part lets them.
+    step = F.lit((further.agg(F.max(F.col("at").bitwiseAND(LOW))).first()[0] or 0) + 1)
+    behind = F.lit((docs.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    numbered = further.select("doc_id", HASH, (F.shiftright("at", 33) * step + F.col("at").bitwiseAND(LOW) + behind).alias("number"))
+    return _join(_hashed(docs), numbered, "left").select(*docs.columns, F.coalesce("number", "doc_id").alias(OWN))
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents of rows less the rejected own ids, which go to the join as a bounded broadcast or by a shuffle."""
+    gone = cut(rejected.select(F.col("doc_id").alias(OWN)).distinct())
+    return rows.join(small(gone), OWN, "left_anti").drop(OWN)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +85,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+    rows = _apart(_one_of_equals(docs))
+    return _without(rows, exact_dedup(rows, OWN).where(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    rows = _apart(docs)
+    return _without(rows, near_duplicates(rows, OWN).where(~F.col("kept")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _apart(docs)
+    return _without(rows, contamination(rows, table(spark, sf_dir, "benchmark"), id_col=OWN).where("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,3 +222,25 @@ def test_pipeline(spark, tmp_path, name):
     spark.createDataFrame([(1, prose(20, 7, 2000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert left == {*range(60), 100}
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    base, leak = prose(200, 1), prose(20, 7, 2000)
+    docs = [(i, prose(150, 100 + i)) for i in range(60)] + [(200 + i, "junk!! " * 60 + prose(4, i)) for i in range(40)]
+    docs += [(None, prose(150, 100)), (None, prose(150, 101) + " tail"), (None, leak + " " + prose(40, 8)), (None, prose(150, 300)), (None, prose(150, 300))]
+    docs += [(70, base), (70, base + " tail"), (70, leak + " " + prose(40, 9)), (70, prose(150, 301)), (70, prose(150, 102)), (71, prose(150, 302)), (71, prose(150, 302)), (71, " ".join(prose(150, 302).split(" ")) + "\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i in sorted({i for i, _ in docs if i is not None})], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[1:-1]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    left = Counter((r.doc_id, r.text.strip()) for r in table.collect() if r.doc_id is None or r.doc_id < 200)
+    both = {(70, base), (70, base + " tail")} & set(left)
+    assert len(both) == 1
+    assert left == Counter([*docs[:60], (None, prose(150, 300)), (70, prose(150, 301)), (71, prose(150, 302)), *both])
+    packed = Counter(r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert packed == Counter(i for i, _ in left)
