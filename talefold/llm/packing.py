@@ -6,7 +6,9 @@ left over. Pieces are dealt evenly to groups of bounded size. In a group, pieces
 go, longest first, to the fullest bin that takes them. Then the bins with room
 are gone through from the emptiest: each of its pieces is moved to another bin,
 or exchanged one-for-one or two-for-one for shorter ones of another bin, which
-each time raises the sum of squared fills; a bin that runs empty is given up.
+each time raises the sum of squared fills; a bin that runs empty is given up. All
+bins are partners, with all their pieces, and passes go on until one changes
+nothing or no fewer bins are possible by a lower bound.
 Bins that are left half empty are dealt anew to groups of their own, until
 one group takes all of them.
 
@@ -93,22 +95,44 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 
 def improve(lengths: np.ndarray, bins: list[list[int]], room: int) -> list[list[int]]:
-    """Empties underfull bins by moves and exchanges, as long as one can be emptied."""
+    """Empties underfull bins by moves and exchanges, until a pass changes nothing or the lower bound is reached."""
     least = least_bins(lengths, room)
     own = np.empty(len(lengths), np.int64)
     for b, held in enumerate(bins):
         own[held] = b
     fill = np.bincount(own, lengths, len(bins)).astype(np.int64)
     members = [list(b) for b in bins]
-    alive, emptied = len(bins), True
+    alive, changed = len(bins), True
+    # pairs[b, x]: the largest sum of at most x of two pieces of bin b, or 0.
+    pairs, known = np.zeros((len(bins), room + 1), np.int32), np.zeros(len(bins), bool)
 
     def put(i: int, b: int) -> None:
         members[own[i]].remove(i)
         fill[own[i]] -= lengths[i]
         members[b].append(i)
         fill[b] += lengths[i]
+        known[own[i]] = known[b] = False
         own[i] = b
 
+    def learn(b: int) -> None:
+        """Brings pairs of bin b up to date."""
+        each, n = np.unique(lengths[members[b]], return_counts=True)
+        sums = np.add.outer(each, each)[np.triu(np.ones((len(each), len(each)), bool), 1)]
+        sums = np.concatenate([sums, 2 * each[n > 1]])
+        pairs[b] = 0
+        pairs[b, sums] = sums
+        np.maximum.accumulate(pairs[b], out=pairs[b])
+        known[b] = True
+
+    def two_of(c: int, total: int) -> tuple[int, int]:
+        """Two pieces of bin c of that total length."""
+        seen: dict[int, int] = {}
+        for j in members[c]:
+            if total - int(lengths[j]) in seen:
+                return seen[total - int(lengths[j])], j
+            seen[int(lengths[j])] = j
+        raise ValueError("no such pieces")
+
     def step(b: int) -> bool:
         """One change that raises the squared fill and takes from bin b."""
         for i in sorted(members[b], key=lambda i: -lengths[i]):
@@ -126,35 +150,38 @@ def improve(lengths: np.ndarray, bins: list[list[int]], room: int) -> list[list[
             if len(short):
                 j = int(short[np.argmin(lengths[short] + spare[short])])
                 c = int(own[j])
-                put(j, b) if fill[b] + lengths[j] <= room else None
-                if own[j] == b:
-                    put(i, c)
-                    return True
-            tight = np.argsort(room - fill, kind="stable")
-            tight = tight[(fill[tight] < room) & (fill[tight] > fill[b]) & (tight != b)]
-            for c in tight[-8:].tolist():
-                held = sorted(members[c], key=lambda j: lengths[j])
-                for x in range(min(len(held), 6)):
-                    for y in range(x):
-                        two = int(lengths[held[x]] + lengths[held[y]])
-                        if 0 < n - two <= room - fill[c]:
-                            put(held[x], b)
-                            put(held[y], b)
-                            put(i, c)
-                            return True
+                put(j, b)
+                put(i, c)
+                return True
+        open_ = np.flatnonzero((fill > 0) & (fill < room))
+        open_ = open_[open_ != b]
+        for c in open_[~known[open_]].tolist():
+            learn(c)
+        for i in sorted(members[b], key=lambda i: -lengths[i]):
+            n = int(lengths[i])
+            # Below n, and so far below that c gets fuller than b was.
+            two = pairs[open_, np.maximum(0, n - 1 + np.minimum(0, fill[open_] - fill[b]))]
+            over = room - fill[open_] - n + two
+            fits = np.flatnonzero((two > 0) & (over >= 0))
+            if len(fits):
+                at = int(fits[np.argmin(over[fits])])
+                c = int(open_[at])
+                for j in two_of(c, int(two[at])):
+                    put(j, b)
+                put(i, c)
+                return True
         return False
 
-    while emptied and alive > least:
-        emptied = False
+    while changed and alive > least:
+        changed = False
         for b in np.argsort(fill, kind="stable").tolist():
             if alive <= least:
                 break
             if not 0 < fill[b] < room:
                 continue
             while fill[b] and step(b):
-                pass
-            if not fill[b]:
-                alive, emptied = alive - 1, True
+                changed = True
+            alive -= not fill[b]
     return [m for m in members if m]
 
 

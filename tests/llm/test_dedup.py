@@ -172,3 +172,13 @@ def test_local_search():
         better = packing.improve(n, first, 1024)
         assert sorted(i for b in better for i in b) == list(range(60))
         assert max(n[b].sum() for b in better) <= 1024 and packing.least_bins(n, 1024) <= len(better) <= len(first)
+
+
+def test_local_search_tries_all_exchanges():
+    n = np.array([5, 5, 6, 9, 9, 11])
+    assert len(packing.improve(n, packing.best_fit(n, 24), 24)) == 2
+    n = np.array([5, 11, 9, 4, 8, 11, 16, 8])
+    assert len(packing.improve(n, packing.best_fit(n, 24), 24)) == 3
+    rng = np.random.default_rng(1)
+    n = rng.integers(150, 700, 2000)
+    assert len(packing.improve(n, packing.best_fit(n, 1024), 1024)) <= packing.least_bins(n, 1024) + 5
