@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def case_hits(cases: DataFrame, runs: DataFrame) -> DataFrame:
     """case_id, model, n_must, n_hits, misses, n_bad of cases(must, bad) against runs(text)."""
@@ -18,3 +20,11 @@ def report(hits: DataFrame) -> DataFrame:
     """model, n_cases, n_must, n_hits, n_bad, hit_permille; with a total row of a null model."""
     out = hits.rollup("model").agg(F.count("*").alias("n_cases"), F.sum("n_must").alias("n_must"), F.sum("n_hits").alias("n_hits"), F.sum("n_bad").alias("n_bad"))
     return out.withColumn("hit_permille", F.expr("CASE WHEN n_must > 0 THEN n_hits * 1000 DIV n_must END"))
+
+
+def keyword_quality(rows: DataFrame, fillers: list[str], most: int = 8) -> DataFrame:
+    """recording_id, n_keywords, filler_hits, passed of rows(recording_id, keywords array): no filler and at most `most`."""
+    words = F.coalesce("keywords", F.array().cast("array<string>"))
+    hits = F.filter(words, lambda k: F.coalesce(F.regexp_replace(strip(k), "^#+", "").isin(fillers), F.lit(False)))
+    n = F.size(words).cast("long")
+    return rows.select("recording_id", n.alias("n_keywords"), hits.alias("filler_hits"), ((F.size(hits) == 0) & (n <= most)).alias("passed"))

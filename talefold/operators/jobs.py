@@ -47,6 +47,13 @@ def cancel_superseded(jobs: DataFrame, generations: DataFrame) -> DataFrame:
     return current(jobs, generations).where(F.col("status").isin(ACTIVE) & (F.col("cancel_requested") | ~F.col("is_current"))).select("job_id", F.lit("cancelled").alias("status"))
 
 
+def cancel_deleted(jobs: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """The update and the event of each job of a deleted recording that is not cancelled yet."""
+    rows = jobs.join(tombstones.select("recording_id").distinct(), "recording_id", "left_semi").where("status <> 'cancelled'")
+    told = {"status": "cancelled", "step": "deleted", "error_code": "deleted", "event": "cancelled_by_delete"}
+    return rows.select("job_id", "recording_id", *(F.lit(v).alias(k) for k, v in told.items()))
+
+
 def occupancy(jobs: DataFrame, now: Column, slots: dict[str, int] = SLOTS) -> DataFrame:
     """stage, n_live, slots, is_full."""
     held = jobs.where(F.col("status").isin(ACTIVE) & (F.col("lease_expires_at") >= now)).groupBy(F.col("status").alias("stage")).agg(F.count("*").alias("n_live"))

@@ -10,6 +10,7 @@ from ..operators import lifecycle as L
 from .shapes import table
 
 NOW = "2024-01-31 00:00:00"
+FILLERS = ["the", "and", "of", "a"]
 
 
 def _now():
@@ -70,6 +71,10 @@ def superseded_jobs(spark, d):
     return J.cancel_superseded(_jobs(spark, d), _generations(spark, d))
 
 
+def cancel_deleted(spark, d):
+    return J.cancel_deleted(_jobs(spark, d), _requests(spark, d))
+
+
 def stage_occupancy(spark, d):
     return J.occupancy(_jobs(spark, d), F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"))
 
@@ -195,9 +200,14 @@ def stt_report(spark, d):
     return E.report(stt_case_hits(spark, d)).withColumn("model", F.coalesce("model", F.lit("all")))
 
 
+def keyword_quality(spark, d):
+    words = F.transform(F.slice(F.split("text", " "), 1, (F.col("doc_id") % 12 + 1).cast("int")), lambda w: F.concat(F.lit(" #"), w))
+    return E.keyword_quality(table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), words.alias("keywords")), FILLERS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (queue_eligible, stale_recovery, superseded_jobs, stage_occupancy, retry_triage, reconcile_actions, event_profile, fenced_updates, peak_concurrency, lease_episodes, progress_changes, live_only, tombstone_state, file_refs, purge_plan, carry_forward, register_artifacts, reference_scan, safe_delete, upload_verdicts, ingest_once, archive_verify, archive_keys, stt_case_hits, stt_report)
+    for f in (queue_eligible, stale_recovery, superseded_jobs, stage_occupancy, retry_triage, reconcile_actions, event_profile, fenced_updates, peak_concurrency, lease_episodes, progress_changes, live_only, tombstone_state, file_refs, purge_plan, carry_forward, register_artifacts, reference_scan, safe_delete, upload_verdicts, ingest_once, archive_verify, archive_keys, stt_case_hits, stt_report, cancel_deleted, keyword_quality)
 }
 
 _E = "e AS (SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'completed' END AS event, value FROM events)"
@@ -223,6 +233,9 @@ SQL = {
     "queue_eligible": f"WITH {_J} SELECT job_id, recording_id, created_at FROM c WHERE is_current AND status IN ('queued', 'retry_wait') AND attempts < max_attempts AND NOT cancel_requested AND recording_id NOT IN (SELECT recording_id FROM q) ORDER BY created_at, job_id LIMIT 20",
     "stale_recovery": f"WITH {_J} SELECT job_id, CASE WHEN attempts + 1 >= max_attempts THEN 'failed' ELSE 'retry_wait' END AS status, attempts + 1 AS attempts, 'stale_recovery' AS event FROM j WHERE status IN {_ACTIVE} AND lease_expires_at < TIMESTAMP '{NOW}'",
     "superseded_jobs": f"WITH {_J} SELECT job_id, 'cancelled' AS status FROM c WHERE status IN {_ACTIVE} AND (cancel_requested OR NOT is_current)",
+    "cancel_deleted": f"WITH {_J} SELECT job_id, recording_id, 'cancelled' AS status, 'deleted' AS step, 'deleted' AS error_code, 'cancelled_by_delete' AS event FROM j WHERE status <> 'cancelled' AND recording_id IN (SELECT recording_id FROM q)",
+    "keyword_quality": f"""WITH k AS (SELECT doc_id AS recording_id, list_transform(string_split(text, ' ')[1:doc_id % 12 + 1], lambda w: ' #' || w) AS w FROM documents), h AS (SELECT *, list_filter(w, lambda x: ltrim(trim(x), '#') IN {tuple(FILLERS)}) AS filler_hits FROM k)
+      SELECT recording_id, len(w) AS n_keywords, filler_hits, len(filler_hits) = 0 AND len(w) <= 8 AS passed FROM h""",
     "stage_occupancy": f"""WITH {_J}, s AS (SELECT * FROM (VALUES ('stt', 1), ('correction', 2), ('semantic', 2), ('reduce', 1)) AS t(stage, slots)),
       n AS (SELECT status AS stage, count(*) AS n FROM j WHERE status IN {_ACTIVE} AND lease_expires_at >= TIMESTAMP '2024-01-30 20:00:00' GROUP BY 1)
       SELECT stage, coalesce(n, 0) AS n_live, CAST(slots AS BIGINT) AS slots, coalesce(n, 0) >= slots AS is_full FROM s LEFT JOIN n USING (stage)""",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talefold.operators import chunking as C
-from talefold.operators import diffing, jobs, lifecycle, titles
+from talefold.operators import diffing, evalstt, jobs, lifecycle, titles
 from talefold.operators import reduce as R
 from talefold.operators import segments as S
 from talefold.plans import registry
@@ -123,6 +123,18 @@ def test_every_benchmark_case_gets_runs(spark, tmp_path):
     assert {r.model: r.n_cases for r in registry.queries()["stt_report"](spark, str(tmp_path)).collect()} == {"web": 114, "all": 114}
 
 
+def test_deletion_cancels_jobs_once(spark):
+    rows = spark.createDataFrame([(1, "a", "queued"), (2, "a", "cancelled"), (3, "b", "stt"), (4, None, "stt")], "job_id long, recording_id string, status string")
+    gone = spark.createDataFrame([("a",), ("a",), (None,)], "recording_id string")
+    assert [tuple(r) for r in jobs.cancel_deleted(rows, gone).collect()] == [(1, "a", "cancelled", "deleted", "deleted", "cancelled_by_delete")]
+
+
+def test_keyword_quality(spark):
+    rows = spark.createDataFrame([(1, [" ##um ", "x", None]), (2, ["x"] * 9), (3, ["umm"]), (4, None)], "recording_id long, keywords array<string>")
+    got = {r.recording_id: tuple(r)[1:] for r in evalstt.keyword_quality(rows, ["um"]).collect()}
+    assert got == {1: (3, [" ##um "], False), 2: (9, [], False), 3: (1, [], True), 4: (0, [], True)}
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     from talefold.streaming import jobs as streaming
 
