@@ -10,7 +10,8 @@ a hit inside an exception does not count. A text's hits, weighted, are divided
 by its words, and a logistic curve fitted on the training rows gives the score.
 
 The bound TRAINING_ROWS on labelled rows is a parameter; the sample is chosen by
-a hash of the id. Scoring reads every whole text.
+a hash of the id. All terms and exceptions that these rows give are kept. Scoring
+reads every whole text.
 
 Defined cases: null and empty texts have no hits and get the score of these;
 without labels of both kinds the lexicon is empty and every score is 0; rows
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, sample, training
+from .scratch import cut
 
 TRAINING_ROWS = 12_000
 SHORTEST, LONGEST = 3, 10
-LEAST_DOCS, LEAST_WEIGHT, TERMS, CANDIDATES = 5, 3.0, 2_000, 50_000
+LEAST_DOCS, LEAST_WEIGHT = 5, 3.0
 CUTOFF = 0.5
 
 #: Cyrillic and Greek letters that look like Latin ones, and what stands for a letter inside words.
@@ -95,15 +97,14 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(a * np.log1p(1000 * densities) + b, -30, 30)))
 
 
-def _counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """term, docs: in how many texts of rows each feature (or each of `only`) occurs."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """term, docs: in how many texts of rows each feature occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                found = features(folded(text))
-                seen.update(found if only is None else found & only)
+                seen.update(features(folded(text)))
             if len(seen) > 300_000:
                 yield pd.DataFrame({"term": list(seen), "docs": list(seen.values())})
                 seen.clear()
@@ -139,18 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), rows
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon({})
-    ones = dict(_counts(toxic, None).where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "term").limit(CANDIDATES).collect())
-    zeros = dict(_counts(other, frozenset(ones)).collect())  # at most as many as candidates
-    weight = {t: float(np.log((n + 0.5) / (n1 + 1)) - np.log((zeros.get(t, 0) + 0.5) / (n0 + 1))) for t, n in ones.items()}
-    strong = {t for t, w in weight.items() if w >= LEAST_WEIGHT}
-    longer: dict[str, int] = {}
-    for t in ones:  # documents of the longest continuation by one character
-        longer[t[:-1]] = max(longer.get(t[:-1], 0), ones[t])
-    kept = [t for t in strong if longer.get(t, 0) < 0.9 * ones[t]]
+    ones = cut(_counts(toxic).where(F.col("docs") >= LEAST_DOCS))
+    zeros = _counts(other).select("term", F.col("docs").alias("other"))
+    # Documents of the longest continuation by one character.
+    longer = ones.groupBy(F.expr("substring(term, 1, length(term) - 1)").alias("term")).agg(F.max("docs").alias("longer"))
+    n, m = F.col("docs"), F.coalesce("other", F.lit(0))
+    weighed = ones.join(zeros, "term", "left").join(longer, "term", "left").select("term", "docs", m.alias("other"), "longer", (F.log((n + 0.5) / (n1 + 1)) - F.log((m + 0.5) / (n0 + 1))).alias("weight"))
+    strong = {r.term: r for r in weighed.where((F.col("weight") >= LEAST_WEIGHT) & (F.coalesce("longer", F.lit(0)) < F.lit(0.9) * n)).collect()}
+    kept = list(strong)
     names = set(kept)
     kept = [t for t in kept if not any(t[:k] in names for k in range(SHORTEST + 1, len(t)))]
-    terms = {t: weight[t] for t in sorted(kept, key=lambda t: (-ones[t] * weight[t], t))[:TERMS]}
-    spared = [r[0] for r in _phrases(learn, terms).where((F.col("toxic") == 0) & (F.col("other") >= LEAST_DOCS)).orderBy(F.desc("other"), "phrase").limit(TERMS).collect()] if any(zeros.get(t) for t in terms) else []
+    terms = {t: strong[t].weight for t in sorted(kept, key=lambda t: (-strong[t].docs * strong[t].weight, t))}
+    spared = [r[0] for r in _phrases(learn, terms).where((F.col("toxic") == 0) & (F.col("other") >= LEAST_DOCS)).orderBy(F.desc("other"), "phrase").collect()] if any(strong[t].other for t in terms) else []
     lexicon = Lexicon(terms, [*exceptions, *spared])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

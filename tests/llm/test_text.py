@@ -10,7 +10,7 @@ from talefold.llm.decontaminate import contamination
 from talefold.llm.html_text import html_text, page_text
 from talefold.llm.pii import replace_private
 from talefold.llm.quality import quality
-from talefold.llm.toxicity import Lexicon, folded, toxicity
+from talefold.llm.toxicity import Lexicon, fit, folded, toxicity
 
 from .common import documents, hard_rows, prose
 
@@ -158,6 +158,16 @@ def test_toxicity(spark):
     assert toxicity(docs.limit(0), labels).collect() == []
 
 
+def test_lexicon_keeps_all_terms(spark):
+    """More strong terms than a bound of 2000 would leave."""
+    letters = "abcdefghijklmnopqrst"
+    terms = [f"{letters[i // 400]}{letters[i // 20 % 20]}{letters[i % 20]}zz" for i in range(2100)]
+    rows = [(i, " ".join(terms[k] for k in range(2100) if k % 40 in {(i + j) % 40 for j in range(10)}) if i < 40 else prose(20, i)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "doc_id long, toxic int")
+    got = fit(documents(spark, rows).select("doc_id", "text"), labels).terms
+    assert sum(f" {folded(t).strip()} " in got for t in terms) == 2100
+
+
 def test_lexicon():
     assert folded("You 1D10T, tr@sh! 2024") == " you idiot trash 2024 "
     lexicon = Lexicon({" trash ": 5.0, " lowe": 4.0}, ["trash can"], (1.0, -3.0))
