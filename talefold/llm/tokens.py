@@ -1,15 +1,17 @@
 """Token ids of whole texts, for the byte-level BPE files of a tokenizer folder.
 
 A text is cut into words by array operations that follow the tokenizer's
-pattern, and each distinct word is encoded once per task. Texts that hold the
-end-of-text string, or code points whose class is unknown here, go to the
-`tokenizers` library as they are.
+pattern, and each distinct word is encoded once per task. Words that a hash takes
+for equal are compared letter by letter, and remembered by the word itself. Texts
+that hold the end-of-text string, or code points whose class is unknown here, go to
+the `tokenizers` library as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import unicodedata
 
 import numpy as np
@@ -18,7 +20,8 @@ SPACE, LETTER, NUMBER, OTHER, END, UNKNOWN = range(6)
 #: The characters of the Unicode property White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 400_000
+#: Words that an encoder remembers, their longest, and code points that are looked at together.
+WORDS_KEPT, LONG_WORD, SLAB = 200_000, 64, 600_000
 
 
 @functools.cache
@@ -71,10 +74,10 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         self.word = self._plain
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks:
             import tiktoken
 
@@ -82,8 +85,24 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             own = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
             self.word = lambda x: np.array(own.encode_ordinary(x), np.uint32)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.words: dict[int, np.ndarray] = {}
+        self.words: dict[str, np.ndarray] = {}
+
+    @functools.cached_property
+    def slow(self):
+        """The library's tokenizer, loaded for the texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _of(self, word: str) -> np.ndarray:
+        got = self.words.get(word)
+        if got is None:
+            got = self.word(word)
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            if len(word) <= LONG_WORD:
+                self.words[word] = got
+        return got
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -97,7 +116,7 @@ class Encoder:
                 continue
             held.append(i)
             size += len(t)
-            if size > 1_000_000:
+            if size > SLAB:
                 self._some(texts, held, out)
                 held, size = [], 0
         self._some(texts, held, out)
@@ -108,10 +127,10 @@ class Encoder:
             return
         lens = np.array([len(texts[i]) for i in held])
         ends = np.cumsum(lens + 1) - 1  # of each text's end mark
+        all_ = "\0".join(texts[i] for i in held)
         cp = np.full(ends[-1] + 4, 0x110000, np.uint32)
-        inside = np.ones(ends[-1] + 1, bool)
-        inside[ends] = False
-        cp[: ends[-1] + 1][inside] = np.frombuffer("".join(texts[i] for i in held).encode("utf-32-le"), np.uint32)
+        cp[: ends[-1]] = np.frombuffer(all_.encode("utf-32-le"), np.uint32)
+        cp[ends] = 0x110000
         c = classes()[cp]
         unknown = np.unique(np.searchsorted(ends, np.flatnonzero(c == UNKNOWN)))
         bounds = np.flatnonzero(word_starts(cp, c) | (c == END))
@@ -125,14 +144,16 @@ class Encoder:
         h = (total[e] - total[s]) * back[s]
         h ^= h >> np.uint64(31)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        pieces = []
-        for key, a, b in zip(h[first].tolist(), s[first].tolist(), e[first].tolist(), strict=True):
-            got = self.words.get(key)
-            if got is None:
-                if len(self.words) >= WORDS_KEPT:
-                    self.words.clear()
-                got = self.words[key] = self.word(cp[a:b].tobytes().decode("utf-32-le", "replace"))
-            pieces.append(got)
+        # Words of one hash that are not the first one's letters get a number of their own.
+        size = e - s
+        begin = np.cumsum(size) - size
+        model = np.repeat((s[first][which] - begin).astype(np.int32), size)
+        model += np.arange(len(model), dtype=np.int32)
+        differ = cp[np.minimum(model, len(cp) - 1, out=model)] != cp[cp != 0x110000]  # words tile the texts
+        odd = np.unique(np.concatenate([np.flatnonzero(size != size[first][which]), np.searchsorted(begin, np.flatnonzero(differ), "right") - 1]))
+        which[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+        pieces = [self._of(all_[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
         n = np.array([len(x) for x in pieces], np.int64)
         flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
         each = n[which]
