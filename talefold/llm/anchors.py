@@ -2,7 +2,8 @@
 
 Of the hashes of all K-byte runs that start in a window of SPAN bytes, the least
 one marks the window's anchor (the leftmost of equals). A window's anchor depends
-on its bytes alone, so equal windows have anchors at equal offsets.
+on its bytes alone, so equal windows have anchors at equal offsets. The hashes place
+anchors and bring candidates together; what is equal is not decided by them.
 """
 
 from __future__ import annotations
@@ -11,16 +12,16 @@ import functools
 
 import numpy as np
 
-from .shingles import CODE, STEP, mix
+from .shingles import STEP, mix
 
 SPAN, K = 400, 64
-OTHER = 0xD1342543DE82EF95
+CODE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(step: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for m in (step, pow(step, -1, 1 << 64)):
+    for m in (STEP, pow(STEP, -1, 1 << 64)):
         steps = np.full(1 << bits, m, np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps))
@@ -30,8 +31,8 @@ def _powers(step: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Prefix:
     """Hashes of any runs of a byte string, in constant time each."""
 
-    def __init__(self, b: np.ndarray, step: int = STEP):
-        forth, self.back = _powers(step, max(16, (len(b) + 1).bit_length()))
+    def __init__(self, b: np.ndarray):
+        forth, self.back = _powers(max(16, (len(b) + 1).bit_length()))
         self.total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(CODE[b] * forth[: len(b)], out=self.total[1:])
 

@@ -6,7 +6,7 @@ are packed into four 64-bit words. Of two packed signatures, the share of
 differing places, found by bit counts, estimates the similarity after the
 chance agreement of two bits, 1/4, is taken out. Pairs of an estimate well below
 the threshold (over five standard errors) are left; all others are confirmed on
-the full sets. A pair at the threshold shares none of the 32 bands with a
+the full sets, word for word. A pair at the threshold shares none of the 32 bands with a
 probability below 1e-5.
 
 No bucket's pairs are enumerated. Documents of one and the same set are first
@@ -14,7 +14,7 @@ one class. In each bucket the class that shares most with others is the hub. Eac
 class is confirmed with the hub that it is estimated to be nearest to, and these
 links are joined to components. Only
 what a bucket still holds outside its largest component is compared with the bucket's
-rest, by longer signatures (2048 minima of one bit) whose estimate is far tighter;
+rest, block by block where it is large, by longer signatures (2048 minima of one bit) whose estimate is far tighter;
 pairs that pass it, each found in the first bucket that it shares, are confirmed as
 well. So every pair in a bucket is either compared or already connected.
 
@@ -37,10 +37,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import cut, small
-from .shingles import mix, shingles
+from .shingles import mix, shingle_set, shingles
 
 PERCENT, WORDS = 75, 5
 BANDS, ROWS, BITS = 32, 4, 2
+#: Shingles that a task of confirm keeps for further pairs of a document.
+HELD = 200_000
+#: Rows of a bucket that are compared in one piece.
+BLOCK = 2_000
 #: Minima of one bit in the longer signatures; their estimates below TIGHT are over four standard errors below 0.75.
 LONG, TIGHT = 2048, 0.685
 #: Estimates below this are over five standard errors below 0.75 with 128 minima of two bits.
@@ -117,26 +121,30 @@ def estimate(a: str, b: str, n: int = BANDS * ROWS, bits: int = BITS) -> Column:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are similar enough; docs(doc_id, text)."""
+    """Those of pairs(a, b) whose full sets, compared word for word, are similar enough; docs(doc_id, text)."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(small(ids), "doc_id", "left_semi"))
+    texts = cut(docs.join(small(cut(ids)), "doc_id", "left_semi"))
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, set] = {}
+        size = 0
 
-        def of(doc: int, text: str) -> np.ndarray:
+        def of(doc: int, text: str) -> set:
+            nonlocal size
             if doc not in held:
-                if len(held) > 200:
+                if size > HELD:
                     held.clear()
-                held[doc] = shingles(text, words)
+                    size = 0
+                held[doc] = shingle_set(text, words)
+                size += len(held[doc])
             return held[doc]
 
         for batch in batches:
             keep = []
             for a, b, x, y in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text_a"], batch["text_b"], strict=True):
                 x, y = of(a, x), of(b, y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(x & y)
                 keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
@@ -165,12 +173,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = components(links)
     labelled = cut(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main")).where("n > 1").drop("n")
-    mixed = cut(labelled.join(parts, "key"))
-    unsure = texts.join(small(mixed.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
+    mixed = cut(labelled.join(cut(parts), "key"))
+    unsure = texts.join(small(cut(mixed.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
     mixed = cut(mixed.join(sketches(unsure, words), "id").join(classes.select("id", "bands"), "id"))
     p, q = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "bands", "sketch")] for side in "pq")
-    pair = mixed.where("component != main").select("key", *p).join(mixed.select("key", "main", *q), "key")
+    # A large bucket is dealt into blocks, and each two blocks meet in a group of their own.
+    own, each = F.expr("pmod(xxhash64(id), blocks)"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = mixed.where("component != main").select("key", own.cast("int").alias("i"), each.alias("j"), *p)
+    right = mixed.select("key", "main", each.alias("i"), own.cast("int").alias("j"), *q)
+    pair = left.join(right, ["key", "i", "j"])
     once = "component_p != component_q AND (component_q = main OR id_p < id_q)"
     pair = pair.where(F.expr(once) & (estimate("sketch_p", "sketch_q", LONG, 1) >= TIGHT) & F.expr("array_min(array_intersect(bands_p, bands_q)) = key"))
     open_ = pair.select(F.greatest("id_p", "id_q").alias("a"), F.least("id_p", "id_q").alias("b"))

@@ -1,16 +1,17 @@
-"""Word shingles of a text as 64-bit hashes, by array operations on its bytes."""
+"""Word shingles of a text, as 64-bit hashes and as words."""
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import string
 
 import numpy as np
 
-#: A-Z to a-z, and the bytes that part words.
+#: Fixed value: A-Z to a-z. Words are parted by blanks: 0x20 and 0x09 to 0x0D.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-BLANK = np.isin(np.arange(256), [0x20, *range(9, 14)])
 STEP = 0x9E3779B97F4A7C15
+#: Words whose hashes a worker remembers, and their longest.
+WORDS_KEPT, LONG_WORD = 100_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,35 +21,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-CODE = mix(np.arange(1, 257, dtype=np.uint64))
+class _Hashes(dict):
+    """A 64-bit hash of each word, by BLAKE2b; words are told apart in full."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        if len(word) <= LONG_WORD:
+            self[word] = h
+        return h
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in (STEP, pow(STEP, -1, 1 << 64)):
-        steps = np.full(1 << bits, m, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps))
-    return tuple(out)
 
+HASHES = _Hashes()
 
-def word_hashes(text: str) -> np.ndarray:
-    """One hash per word of the text, A-Z in lower case, in order."""
-    b = np.frombuffer(text.encode("utf-8", "replace").translate(LOWER), np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[b], [True]])))
-    s, e = edge[::2], edge[1::2]
-    forth, back = _powers(max(16, len(b).bit_length()))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(CODE[b] * forth[: len(b)], out=total[1:])
-    return mix((total[e] - total[s]) * back[s])
+
+def word_list(text: str | None) -> list[bytes]:
+    """The words of the text in order, A-Z in lower case; bytes.split parts at just those blanks."""
+    return (text or "").encode("utf-8", "replace").translate(LOWER).split()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One hash per word of the text."""
+    words = word_list(text)
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(text: str | None, size: int = 5) -> set[tuple[bytes, ...]]:
+    """The runs of `size` words themselves; the whole text's if it has fewer words, none if it has none."""
+    w = word_list(text)
+    n = min(size, len(w))
+    return set(zip(*(w[k:] for k in range(n)), strict=False)) if n else set()
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; the whole text's if it has fewer words, none if it has none."""
-    w = word_hashes(text or "")
+    w = word_hashes(text)
     if not len(w):
         return w
     n = min(size, len(w))

@@ -4,16 +4,19 @@ A byte goes if a string of SPAN bytes that covers it starts in two places of the
 corpus. Equal windows of SPAN bytes share an anchor at the same offset (see
 anchors.py), so windows are compared only under equal anchors:
 
-1. Each text gives its anchors, with a hash of the bytes of all windows that the
-   anchor marks (its context). Counted by anchor and context, contexts that occur
-   twice are repeated as a whole, however many copies there are.
+1. Each text gives its anchors, with a 128-bit BLAKE2b digest of the bytes of all
+   windows that the anchor marks (its context). Counted by anchor and digest, contexts
+   that occur twice are repeated as a whole, however many copies there are.
 2. Anchors with several different contexts need a comparison. One of each context
    brings its bytes. The suffixes that start at the anchor, and the reversed
    prefixes that end there, are sorted by multikey quicksort to a shallow depth and
    by blind tries below it. Common prefixes of neighbours give the stretch that any
    two contexts share, and so the repeated windows.
-3. An anchor with more contexts than GROUP is not sorted in one task; the windows of
-   its contexts are counted by their hashes instead, which gives the same result.
+3. An anchor with more contexts than one task sorts is split first: windows whose
+   anchor lies in the first half of their offsets agree in the bytes that all of these
+   windows hold, and likewise in the second half, so contexts are dealt by these bytes,
+   and what is alone is left. Halving goes on until each group can be sorted or holds
+   one window alone, which then repeats.
 
 Windows never cross texts, and are judged on the input. Defined cases: a null text
 is empty; texts shorter than SPAN lose nothing; repeated rows are places of their
@@ -23,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import K, OTHER, SPAN, Prefix, anchors
+from .anchors import K, SPAN, Prefix, anchors
 from .scratch import cut, small
 from .suffix_sort import pairwise
 
 #: Contexts of one anchor that one task sorts at most; and of several anchors together.
 GROUP, BATCH = 1000, 4000
-PLACED = "id long, k long, at long, first long, last long, key long, context long"
+PLACED = "id long, k long, at long, first long, last long, key long, context long, context2 long"
+CONTEXT = ["key", "context", "context2"]
 RUNS = "id long, k long, start long, stop long"
 
 
@@ -54,7 +59,7 @@ def _ids(column: pd.Series) -> pd.Series:
 
 
 def place(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """PLACED: every anchor of every text, the windows it marks, and hashes of the anchor and its context."""
+    """PLACED: every anchor of every text, the windows it marks, the anchor's hash, and its context's digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,11 +68,13 @@ def place(rows: DataFrame, span: int, k: int) -> DataFrame:
                 b = _bytes(text)
                 if len(b) < span:
                     continue
-                p = Prefix(b)
-                at, key, first, last = anchors(p, len(b), span, k)
-                out.append((np.full(len(at), i), at, first, last, key.view(np.int64), p.runs(first, last + span).view(np.int64)))
-            whose, *columns = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 6
-            found = pd.DataFrame(dict(zip(("at", "first", "last", "key", "context"), columns, strict=True)))
+                at, key, first, last = anchors(Prefix(b), len(b), span, k)
+                raw = b.tobytes()
+                digests_ = b"".join(hashlib.blake2b(raw[f : t + span], digest_size=16).digest() for f, t in zip(first.tolist(), last.tolist(), strict=True))
+                one, two = np.frombuffer(digests_, np.int64).reshape(-1, 2).T
+                out.append((np.full(len(at), i), at, first, last, key.view(np.int64), one, two))
+            whose, *columns = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 7
+            found = pd.DataFrame(dict(zip(("at", "first", "last", *CONTEXT), columns, strict=True)))
             found.insert(0, "id", _ids(batch["id"]).iloc[whose].to_numpy())
             found.insert(1, "k", batch["k"].to_numpy()[whose])
             yield found
@@ -88,14 +95,14 @@ def _cut_out(of_docs: DataFrame, rows: DataFrame) -> DataFrame:
                     out.append((id_, k, at, first, s["last"], s["key"], s["copies"], b[first:at][::-1], b[at:stop]))
             yield pd.DataFrame(out, columns=["id", "k", "at", "first", "last", "key", "copies", "before", "after"]).astype({"id": "Int64"})
 
-    texts = rows.join(small(of_docs.select("k").distinct()), "k", "left_semi").alias("t")
+    texts = rows.join(small(cut(of_docs.select("k").distinct())), "k", "left_semi").alias("t")
     both = of_docs.alias("d").join(texts, (F.col("t.k") == F.col("d.k")) & F.col("t.id").eqNullSafe(F.col("d.id")))
     return both.select("d.id", "d.k", "t.text", "d.spots").mapInPandas(run, "id long, k long, at long, first long, last long, key long, copies long, before binary, after binary")
 
 
-def repeated_windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, before: list[bytes], after: list[bytes], wanted: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
+def repeated_windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, before: list[bytes], after: list[bytes], wanted: np.ndarray, span: int) -> list[tuple[int, int, int]]:
     """(position, start, stop) of bytes in windows that a context of the same anchor has too."""
-    left, right = pairwise(before), pairwise(after, k)
+    left, right = pairwise(before), pairwise(after)
     low = np.maximum((at - last)[:, None], span - right)  # offsets of the anchor in a shared window
     high = np.minimum((at - first)[:, None], left)
     np.fill_diagonal(high, -1)
@@ -110,54 +117,73 @@ def repeated_windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, before
     return out
 
 
-def _sorted_groups(contexts: DataFrame, groups: int, span: int, k: int) -> DataFrame:
+def _sorted_groups(contexts: DataFrame, n: int, batch: int, span: int) -> DataFrame:
+    """RUNS of n contexts(..., part), each part sorted by itself, about `batch` contexts in a task's group."""
+    groups = max(1, -(-n // batch))
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in rows.groupby("key", sort=False):
+        for _, g in rows.groupby("part", sort=False):
             at, first, last = (g[c].to_numpy(np.int64) for c in ("at", "first", "last"))
-            found = repeated_windows(at, first, last, g["before"].tolist(), g["after"].tolist(), g["copies"].to_numpy() == 1, span, k)
+            found = repeated_windows(at, first, last, g["before"].tolist(), g["after"].tolist(), g["copies"].to_numpy() == 1, span)
             ids, ks = g["id"].tolist(), g["k"].tolist()
             out += [(ids[i], ks[i], a, b) for i, a, b in found]
         return pd.DataFrame(out, columns=["id", "k", "start", "stop"]).astype({"id": "Int64"})
 
-    return contexts.groupBy(F.pmod("key", F.lit(groups)).alias("part")).applyInPandas(run, RUNS)
-
-
-def _counted_windows(contexts: DataFrame, span: int) -> DataFrame:
-    """The same for anchors of very many contexts: windows are counted by anchor, offset and hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                b = np.frombuffer(r.before[::-1] + r.after, np.uint8)
-                s = np.arange(r.last - r.first + 1)
-                one, two = (Prefix(b, *step).runs(s, s + span).view(np.int64) for step in ((), (OTHER | 1,)))
-                yield pd.DataFrame({"id": pd.array([r.id] * len(s), "Int64"), "k": r.k, "start": r.first + s, "key": r.key, "off": r.at - r.first - s, "one": one, "two": two})
-
-    windows = cut(contexts.mapInPandas(run, "id long, k long, start long, key long, off long, one long, two long"))
-    by = ["key", "off", "one", "two"]
-    twice = windows.groupBy(by).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return windows.join(twice, by).select("id", "k", "start", (F.col("start") + span).alias("stop"))
+    return contexts.groupBy(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("task")).applyInPandas(run, RUNS)
+
+
+def _halves(contexts: DataFrame, span: int) -> DataFrame:
+    """Contexts of crowded parts dealt anew: low and high bound the anchor's offset in a window, and the
+    bytes that all windows of these offsets share become the part. first and last are cut to these windows."""
+    middle = "((low + high) div 2)"
+    two = F.explode(F.expr(f"array(struct(low, {middle} AS high), struct({middle} + 1 AS low, high))")).alias("range")
+    half = contexts.select(*(c for c in contexts.columns if c not in ("low", "high")), two).select("*", "range.*").drop("range")
+    # Of a context, the windows from at - high to at - low are left, if it has any of them.
+    half = half.withColumn("first", F.greatest("first", F.expr("at - high"))).withColumn("last", F.least("last", F.expr("at - low"))).where("first <= last")
+    shared = F.concat(F.lit("|"), F.expr("hex(substring(before, 1, int(low)))"), F.lit("|"), F.expr(f"hex(substring(after, 1, int({span} - high)))"))
+    return half.withColumn("part", F.sha2(F.concat_ws(",", F.col("key").cast("string"), "low", "high", shared), 256))
+
+
+def _split(crowded: DataFrame, span: int, k: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """crowded(key, ...) in parts of at most `group` contexts, and RUNS of windows that repeat without a sort."""
+    open_ = crowded.withColumns({"part": F.col("key").cast("string"), "low": F.lit(0).cast("long"), "high": F.lit(span - k).cast("long")})
+    ready = same = None
+    while True:
+        # All members of a part of one offset hold one and the same window.
+        one = open_.where("low = high AND copies = 1").select("id", "k", F.col("first").alias("start"), (F.col("last") + span).alias("stop"))
+        same = one if same is None else same.unionByName(one)
+        halves = cut(_halves(open_.where("low < high"), span))
+        sizes = cut(halves.groupBy("part").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 AND fewest = 1").select("part", "n"))
+        few = halves.join(small(cut(sizes.where(F.col("n") <= group).select("part"))), "part", "left_semi")
+        ready = few if ready is None else ready.unionByName(few)
+        many = cut(sizes.where(F.col("n") > group).select("part"))
+        if many.isEmpty():
+            return ready, same
+        open_ = halves.join(small(many), "part", "left_semi")
 
 
 def repeated_runs(rows: DataFrame, span: int = SPAN, k: int = K, group: int = GROUP, batch: int = BATCH) -> DataFrame:
     """RUNS: stretches of bytes, of any overlap, that windows with a second place cover; rows(id, k, text)."""
     placed = cut(place(rows, span, k))
     firsts = [F.first(c).alias(c) for c in ("id", "k", "at", "first", "last")]
-    classes = cut(placed.groupBy("key", "context").agg(F.count("*").alias("copies"), *firsts))
-    whole = placed.join(classes.where("copies > 1").select("key", "context"), ["key", "context"]).select("id", "k", F.col("first").alias("start"), (F.col("last") + span).alias("stop"))
+    classes = cut(placed.groupBy(*CONTEXT).agg(F.count("*").alias("copies"), *firsts))
+    whole = placed.join(classes.where("copies > 1").select(*CONTEXT), CONTEXT).select("id", "k", F.col("first").alias("start"), (F.col("last") + span).alias("stop"))
 
-    keys = classes.groupBy("key").agg(F.count("*").alias("contexts"), F.min("copies").alias("fewest")).where("contexts > 1 AND fewest = 1")
-    chosen = cut(classes.join(keys.drop("fewest"), "key"))
+    # Written first, so that the join on the anchors is one of two shuffled sides, which a common anchor splits.
+    keys = cut(classes.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 AND fewest = 1").select("key", "n"))
+    chosen = cut(classes.join(small(keys.select("key")), "key", "left_semi"))
     spot = F.struct("at", "first", "last", "key", "copies", F.lit(span).alias("span"))
     of_docs = cut(chosen.groupBy("id", "k").agg(F.collect_list(spot).alias("spots")))
-    contexts = _cut_out(of_docs, rows)
-    sizes = keys.select("key", "contexts")
-    contexts = cut(contexts.dropDuplicates(["key", "id", "k", "at"]).join(sizes, "key"))
-    few, many = contexts.where(F.col("contexts") <= group), contexts.where(F.col("contexts") > group)
-    groups = max(1, -(-few.count() // batch))
-    found = whole.unionByName(_sorted_groups(few, groups, span, k))
-    return found if many.isEmpty() else found.unionByName(_counted_windows(many, span))
+    contexts = cut(_cut_out(of_docs, rows).dropDuplicates(["key", "id", "k", "at"]))
+    columns = ["part", "id", "k", "at", "first", "last", "copies", "before", "after"]
+    crowded = cut(keys.where(F.col("n") > group).select("key"))
+    if crowded.isEmpty():
+        return whole.unionByName(_sorted_groups(contexts.withColumn("part", F.col("key").cast("string")).select(columns), contexts.count(), batch, span))
+    calm = contexts.join(small(crowded), "key", "left_anti").withColumn("part", F.col("key").cast("string"))
+    parts, same = _split(contexts.join(small(crowded), "key", "left_semi"), span, k, group)
+    parts = calm.select(columns).unionByName(parts.select(columns))
+    return whole.unionByName(same).unionByName(_sorted_groups(parts, parts.count(), batch, span))
 
 
 def merged(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -176,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     spots = F.collect_set(F.struct("start", "stop"))
     runs = cut(repeated_runs(rows, span, k, **sizes).groupBy("id", "k").agg(spots.alias("spots")))
-    touched = small(runs.select("k").distinct())
+    touched = small(cut(runs.select("k").distinct()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,6 +223,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (whether anything is removed)."""
     out = remove_repeats(docs, **options)
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("runs") > 0).alias("changed"))

@@ -116,12 +116,56 @@ def test_repeats(spark):
     rows += [(20 + i, prose(20 + i, 60 + i) + passage[i : 500 + 3 * i] + prose(10, 80 + i)) for i in range(12)]
     rows += [(40, "ab " * 400), (41, "x" * 1000), (42, "x" * 400), (43, "y" * 399 + "z" + "y" * 399)]
     want = brute_repeats(rows)
-    for options in ({}, {"group": 2, "batch": 3}):
+    for options in ({}, {"group": 2, "batch": 3}, {"group": 5}):
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests(documents(spark, rows), **options).collect())
         assert got == want, options
     assert digests(documents(spark, [])).collect() == []
 
 
+def thue_morse(n, a="a", b="b"):
+    """Strings whose polynomial hashes modulo 2**64 are equal for every odd base, from 1024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_repeats_with_one_common_anchor(spark):
+    """A passage in many different surroundings is split down to parts that can be sorted, or to single windows."""
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("abcdefgh "), 600))
+    letters = lambda n: "".join(rng.choice(list("uvwxyz "), n))
+    rows = [(i, letters(rng.integers(0, 300)) + passage[rng.integers(0, 120) : rng.integers(490, 601)] + letters(rng.integers(0, 300))) for i in range(120)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests(documents(spark, rows), group=4).collect())
+    assert got == brute_repeats(rows)
+    assert sum(r[2] > 0 for r in got) > 60
+
+
+def test_repeats_are_equal_bytes(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, one), (2, two), (3, "x" + one[:1500]), (4, prose(100, 7))]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_near_links_are_equal_words(spark):
+    one, two = thue_morse(2048)
+    rows = [(i, f"{w} {w} {w} {w} {w} {prose(1, i)}") for i, w in enumerate((one, two))] + [(2, one), (3, two), (4, one.upper())]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_near(rows)
+
+
+def test_near_in_a_mixed_bucket(spark, monkeypatch):
+    """Documents of one template that are not alike share buckets; these are compared in blocks and lose no pair."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    template = prose(60, 31).split()
+    rows = []
+    for i in range(60):
+        own = prose(18, 100 + i // 2).split()
+        rows.append((i, " ".join([*template, *own, *([f"end{i}"] if i % 2 else [])])))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_near(rows)
+    assert 25 <= sum(k for *_, k in got) <= 35
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -139,7 +183,7 @@ def test_suffix_sort():
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    rows = [r for r in hard_rows() if r[0] != 14] + [(30, "it's <|endoftext|> they'll\n\n  go 12 ²"), (31, "a" * 5000)]
+    rows = [r for r in hard_rows() if r[0] != 14] + [(50 + i, w) for i, w in enumerate(thue_morse(2048))] + [(52, " ".join(thue_morse(1024)))] + [(30, "it's <|endoftext|> they'll\n\n  go 12 ²"), (31, "a" * 5000)]
     out = packing.pack(packing.pieces(documents(spark, rows), *tokenizer()), group_rows=16).collect()
     plain = Tokenizer.from_file(tokenizer()[0])
     import zlib
