@@ -4,15 +4,18 @@ A small tree builder closes tags that HTML lets authors leave open (paragraphs,
 list items, table parts, options; the head, at the first thing that can't stand in
 it), ignores end tags that match nothing, and closes what a matching end tag leaves
 open. What is not shown is dropped with all it
-holds: head, script, style and the like, comments, `hidden`, and inline styles that
-hide. The renderer then writes the visible text: inline text with blanks squeezed,
+holds: head, script, style and the like, comments, `hidden`, inline styles that hide,
+and what simple selectors (a tag, classes, an id) of the page's style sheets hide,
+media rules left aside. The renderer then writes the visible text: inline text with blanks squeezed,
 one line per block, an empty line around paragraphs, headings and the like, list
 items behind a dash or their number, indented by depth, preformatted text as it
-is, and table cells padded to the width of their columns. Cells count as such behind
+is, and table cells padded to the width of their columns (cells longer than WIDEST
+stand out). Cells count as such behind
 other elements too; what stands in a table outside its cells comes out before it.
 
 Defined cases: null and empty pages give an empty text; text outside any tag is
-kept; unknown tags are inline; repeated rows repeat; an empty table gives an
+kept; a tag without an end is text; nesting and length are not bounded, and the time
+grows with the length alone; unknown tags are inline; repeated rows repeat; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -20,7 +23,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,90 +51,176 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 ENDS_P = (BLOCKS - frozenset("html body li dt dd tr td th thead tbody tfoot caption option legend summary".split())) | frozenset(["li", "dt", "dd"])
 CELLS, SECTIONS = frozenset(["td", "th"]), frozenset(["thead", "tbody", "tfoot"])
+#: Longer cells do not widen a table's column.
+WIDEST = 80
 P, SCOPE = frozenset(["p"]), frozenset("table td th caption button".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: The rest of a tag up to its end; a quote begins a value behind "=" alone.
+INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+#: Style sheets: comments and blocks of media rules go, then selectors and declarations are read.
+NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*+(?:;|\{(?:[^{}]++|\{[^{}]*+\})*+\}?)", re.S)
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
 class Node:
-    __slots__ = ("children", "seen", "start", "tag")
+    __slots__ = ("children", "names", "seen", "start", "tag")
 
-    def __init__(self, tag: str, seen: bool = True, start: int = 1):
-        self.tag, self.seen, self.start, self.children = tag, seen, start, []
+    def __init__(self, tag: str, seen: bool = True, start: int = 1, names: frozenset[str] = frozenset()):
+        self.tag, self.seen, self.start, self.names, self.children = tag, seen, start, names, []
 
 
-def _visible(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is shown, and the number at which its list starts."""
-    if tag in UNSEEN:
-        return False, 1
+def _element(tag: str, attributes: str) -> Node:
+    """An element; whether it is shown by itself, the number at which its list starts, its id and classes."""
     if not attributes.strip():
-        return True, 1
-    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
-    shown = "hidden" not in found and not HIDES.search(found.get("style", "")) and not (tag == "input" and found.get("type") == "hidden")
+        return Node(tag, tag not in UNSEEN)
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    hidden = tag in UNSEEN or "hidden" in found or HIDES.search(found.get("style", "")) or (tag == "input" and found.get("type") == "hidden")
     start = found.get("start", "1")
-    return shown, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    names = frozenset([f".{c}" for c in found.get("class", "").split()] + ([f"#{found['id']}"] if found.get("id") else []))
+    return Node(tag, not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, names)
+
+
+def hiding_rules(sheets: list[str]) -> list[tuple[str, frozenset[str]]]:
+    """(tag or "", id and classes) of each simple selector whose declarations hide."""
+    out = []
+    for rule in NO_RULE.sub(" ", "\n".join(sheets)).split("}"):
+        selectors, _, declared = rule.partition("{")
+        if HIDES.search(declared):
+            for selector in selectors.split(","):
+                m = SIMPLE.fullmatch(selector.strip())
+                if m and m[0]:
+                    out.append(((m[1] or "").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))))
+    return out
+
+
+def _hide(root: Node, rules: list[tuple[str, frozenset[str]]]) -> None:
+    by_tag = {t for t, names in rules if t and not names}
+    named = [(t, names) for t, names in rules if names]
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x.tag in by_tag or (x.names and any(names <= x.names and t in ("", x.tag) for t, names in named)):
+            x.seen = False
+        elif x.seen:
+            todo += [c for c in x.children if not isinstance(c, str)]
+
+
+class Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop_to(self, k: int) -> None:
+        """Closes the k-th element and all in it."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the last open one of tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: frozenset[str], bars: frozenset[str]) -> None:
+        """Closes the open ones of tags behind the last open one of bars."""
+        bar = self.last(bars)
+        while (k := self.last(tags)) > bar:
+            self.pop_to(k)
+
+    def end(self, tag: str) -> None:
+        """An end tag; it does nothing if it matches nothing in the table that it stands in."""
+        k = self.last((tag,))
+        if k and (tag in ("body", "html", "table") or k > self.last(_TABLE)):
+            self.pop_to(k)
 
 
 def build(page: str) -> Node:
-    """The tree of a page; text stands in it as str."""
+    """The tree of a page; text stands in it as str. Each character is looked at a bounded number of times."""
     root = Node("html")
-    stack = [root]
-
-    def close(tags: frozenset[str], bars: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return close(tags, bars)
-            if stack[k].tag in bars:
-                return None
-        return None
+    open_ = Open(root)
+    sheets: list[str] = []
 
     def add(text: str) -> None:
-        if stack[-1].tag == "head" and BLANKS.sub("", text):
-            stack.pop()
-        stack[-1].children.append(text)
+        if open_.stack[-1].tag == "head" and BLANKS.sub("", text):
+            open_.pop_to(len(open_.stack) - 1)
+        open_.stack[-1].children.append(text)
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    quotes = True  # until a tag has no end outside quotes; from then on each tag ends at the next ">"
     while at < n:
-        m = TOKEN.match(page, at)
-        at, tag = m.end(), m[2]
-        if tag is None:
-            if m[0][0] != "<" or len(m[0]) == 1:
-                add(html.unescape(m[0]) if "&" in m[0] else m[0])
-            elif m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            text = page[at:end]
+            add(html.unescape(text) if "&" in text else text)
+            at = end
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag == "table" and tag not in ("body", "html"):
-                    break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = n if end < 0 else end + 3
             continue
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            add(page[at + 9 : n if end < 0 else end])
+            at = n if end < 0 else end + 3
+            continue
+        name = NAME.match(page, at + 1)
+        if at > last or not (name or page.startswith(("<!", "<?"), at)):
+            add("<")
+            at += 1
+            continue
+        if not name:
+            at = page.find(">", at) + 1
+            continue
+        inside = INSIDE.match(page, name.end()) if quotes else None
+        quotes = inside is not None
+        end = inside.end() if inside else page.find(">", name.end()) + 1
+        if not end:
+            add("<")
+            at += 1
+            continue
+        attributes, at, tag = page[name.end() : end - 1], end, name[0].lower()
+        if tag[0] == "/":
+            open_.end(tag[1:])
+            continue
+        if open_.stack[-1].tag == "head" and tag not in IN_HEAD:
+            open_.pop_to(len(open_.stack) - 1)
         if tag in ENDS_P:
-            close(P, SCOPE)
+            open_.close(P, SCOPE)
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        seen, start = _visible(tag, m[3])
-        node = Node(tag, seen, start)
-        stack[-1].children.append(node)
+            open_.close(*CLOSES[tag])
+        node = _element(tag, attributes)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            held = page[at : close.start() if close else n]
             if tag in ("textarea", "xmp"):
-                node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+                node.children.append(held)
+            elif tag == "style":
+                sheets.append(held)
+            at = close.end() if close else n
+        elif tag not in VOID and not attributes.endswith("/"):
+            open_.push(node)
+    rules = hiding_rules(sheets)
+    if rules:
+        _hide(root, rules)
     return root
 
 
+#: Work that yields further work, gets the result of that, and returns its own.
+Steps = Generator["Steps", Any, Any]
+
+
 class Lines:
     """Rendered lines; blank lines are asked for and come at most one at a time."""
 
@@ -169,7 +259,7 @@ def _around_cells(table: Node) -> set[int]:
     return found
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Steps:
     """Rows of a table with cells in columns of even width, behind what stands outside its cells."""
     rows: list[list[str]] = []
     titles: list[str] = []
@@ -184,20 +274,20 @@ def _table(node: Node) -> list[str]:
         elif c.tag in CELLS:
             if row is None:
                 rows.append(row := [])
-            row.append(" ".join(render(c).split()))
+            row.append(" ".join((yield _text(c)).split()))
         elif c.tag == "tr" or c.tag in SECTIONS or id(c) in around:
             if c.tag == "tr":
                 rows.append(row := [])
             todo += [(k, row) for k in reversed(c.children)]
         else:
-            titles.append(" ".join(render(c).split()))
+            titles.append(" ".join((yield _text(c)).split()))
 
-    widths = [max((len(r[k]) for r in rows if len(r) > k), default=0) for k in range(max(map(len, rows), default=0))]
+    widths = [max((len(r[k]) for r in rows if len(r) > k and len(r[k]) <= WIDEST), default=0) for k in range(max(map(len, rows), default=0))]
     return [t for t in titles if t] + [" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows if any(r)]
 
 
-def _into(node: Node, lines: Lines, depth: int = 0) -> None:
-    # A stack of steps instead of recursion, as trees may be deep; tables and list items start their own.
+def _into(node: Node, lines: Lines, depth: int = 0) -> Steps:
+    # A stack of steps instead of recursion, as trees may be deep; tables and list items are steps of their own.
     todo: list[tuple[Node, int, int]] = [(node, 0, node.start)]
     while todo:
         x, k, number = todo.pop()
@@ -223,13 +313,13 @@ def _into(node: Node, lines: Lines, depth: int = 0) -> None:
             elif c.seen and c.tag == "table":
                 lines.end()
                 lines.space = True
-                for line in _table(c):
+                for line in (yield _table(c)):
                     lines.add(line)
                 lines.space = True
             elif c.seen and c.tag == "li" and depth < 40:
                 lines.end()
                 inner = Lines()
-                _into(c, inner, depth + 1)
+                yield _into(c, inner, depth + 1)
                 inner.end()
                 mark = f"{number}. " if x.tag == "ol" else "- "
                 for n, line in enumerate(inner.out):
@@ -258,13 +348,26 @@ def plain(node: Node) -> str:
     return "".join(out)
 
 
-def render(node: Node) -> str:
+def _text(node: Node) -> Steps:
     lines = Lines()
-    _into(node, lines)
+    yield _into(node, lines)
     lines.end()
     return "\n".join(lines.out)
 
 
+def render(node: Node) -> str:
+    """The text of a tree. Steps that ask for others' results wait on a stack, so nesting is not bounded."""
+    waiting, result = [_text(node)], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+    return result
+
+
 def page_text(page: str | None) -> str:
     return render(build(page)) if page else ""
 

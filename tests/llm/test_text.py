@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -254,3 +255,28 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert left == Counter([*docs[:60], (None, prose(150, 300)), (70, prose(150, 301)), (71, prose(150, 302)), *both])
     packed = Counter(r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect())
     assert packed == Counter(i for i, _ in left)
+
+
+def test_html_stands_deep_and_broken_pages():
+    """Nesting, tags without end and end tags without start take time in proportion to the length."""
+    began = time.perf_counter()
+    assert page_text("<table><tr><td>" * 3000 + "deep") == "deep"
+    assert page_text("<a " * 330_000) == ("<a " * 330_000).strip()
+    assert page_text("<div>" * 50_000 + "</x>" * 50_000 + "end") == "end"
+    assert page_text("<b><table>" + "<div>" * 20_000 + "</b>" * 20_000 + "end") == "end"
+    assert page_text('<a x=">" ' * 50_000 + "end").endswith("end")
+    assert page_text("<!" * 100_000) == "<!" * 100_000
+    assert page_text("<style>" + "/*" * 50_000 + "</style>x") == page_text("<style>" + "@media{{" * 50_000 + "</style>x") == "x"
+    assert page_text("<p>" + "long " * 250_000) == ("long " * 250_000).strip()
+    assert time.perf_counter() - began < 60
+
+
+def test_html_style_sheets_hide():
+    page = "<style>.h, #g span, p.q{display:none} /* b{display:none} */ @media print{b{display:none}} i{visibility:hidden}</style><p class=q>no</p><p>yes <b>b</b><i>i</i></p><div class='a h'>x</div><div id=g><span>y</span></div>"
+    assert page_text(page) == "yes b\n\ny"
+    assert page_text('<p title="a > b">t</p><p title=it\'s>v</p>') == "t\n\nv"
+
+
+def test_html_long_cells_do_not_widen_columns():
+    rows = "<tr><td>a<td>b" * 2
+    assert page_text(f"<table><tr><td>{'w' * 100}<td>x{rows}</table>") == "w" * 100 + " | x\na | b\na | b"
