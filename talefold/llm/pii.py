@@ -2,24 +2,29 @@
 
 Entities are found by one pattern: mail addresses, IPv4 addresses, payment cards,
 IBANs, phone and social security numbers, secrets, and names behind an honorific or
-a known given name. Each is brought to a canonical form, so that spellings of one
-entity (case, separators, honorific) stay one entity. A keyed SHA-256 of type and
-canonical form drives its surrogate: letters become letters of the same script,
-digits digits, and each type keeps its rules (Luhn remainder of cards, check digits
-of IBANs, octets of addresses, gender and script of names). Surrogates that two
-entities share, or that are entities of the corpus themselves, are drawn anew with
-the next counter until all are distinct; from the seventh draw on, mail addresses and
-names grow by a syllable, so that short forms cannot run out. Each occurrence then takes
-its entity's surrogate in its own spelling.
+a known given name. A text that holds such a name is looked through once more: its
+surnames are replaced wherever they stand, with a given name in front of them in
+mid-sentence. Each entity is brought to a canonical form, so that spellings of one
+entity (case, separators) stay one entity; a name's given name and surname are
+entities of their own, so a surname keeps its surrogate with and without given name
+or honorific. A keyed SHA-256 of type and canonical form drives its surrogate: letters
+become letters of the same script, digits digits, and each type keeps its rules (Luhn
+remainder of cards, check digits of IBANs, octets of addresses, country codes of phone
+numbers, gender and script of names). Surrogates that two entities of any type share, or
+that are entities of the corpus themselves, are drawn anew with the next counter until
+all are distinct; from the seventh draw on, names and addresses grow by a syllable or
+letter and numbers by a digit each time, so that no form can run out. Each occurrence
+then takes its entity's surrogate in its own spelling.
 
 Texts never go through a join unless they hold an entity. Only DataFrame functions
-are used. Defined cases: a null text stays null and holds nothing; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored.
+are used, and no pattern repeats a group without a bound. Defined cases: a null text
+stays null and holds nothing; a text of any length is read as a whole; repeated rows
+give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, small
@@ -42,23 +47,26 @@ SYLLABLES = {
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцч", "greek": "αβγδεζηθικλμνξοπρτυφχψω"}
 
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_WORD = r"\p{Lu}[\p{L}'’-]{0,63}+"
+#: Calling codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "17", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 _NAMES = "|".join(sorted({n for x in GIVEN.values() for n in x.split()}))
 _TITLES = "|".join(sorted((t for x in HONORIFICS.values() for t in x.split()), key=len, reverse=True))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: type: pattern; the first that matches in full names an entity's type.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,20}(?<=\.\p{L}{2,24})",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])",
     "iban": _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "secret": _B + r"(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{16,128})" + _E,
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "card": _B + r"\d(?:[ -]?\d){12,18}" + _E,
     "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})" + _E,
-    "name": _B + rf"(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD})",
+    "name": _B + rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}{_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD})",
 }
 ANY = "|".join(PATTERNS.values())
-ROUNDS = 60
+#: Also every capitalised word, for texts that hold names.
+WIDE = rf"{ANY}|{_B}{_WORD}"
 
 
 def _sql(text: str) -> str:
@@ -76,24 +84,25 @@ def type_of(value: Column) -> Column:
     return out
 
 
-_BARE = rf"^(?:{_TITLES})\.? "
+_BARE = rf"^(?:(?:{_TITLES})\.? ){{1,3}}"
 #: Letters and digits of an entity alone, in one case; names without honorific.
 CANON = f"""CASE kind
   WHEN 'email' THEN lower(value)
   WHEN 'ip' THEN value
   WHEN 'iban' THEN replace(value, ' ', '')
   WHEN 'secret' THEN IF(value RLIKE '^[0-9a-fA-F]+$', lower(value), value)
-  WHEN 'name' THEN lower(regexp_replace(value, {_sql(_BARE)}, ''))
+  WHEN 'phone' THEN concat(IF(value LIKE '+%', '+', ''), regexp_replace(value, '[^0-9]', ''))
+  WHEN 'given' THEN lower(value)
+  WHEN 'surname' THEN lower(value)
   ELSE regexp_replace(value, '[^0-9]', '') END"""
 SCRIPT = "CASE WHEN value RLIKE '\\\\p{IsCyrillic}' THEN 'cyrillic' WHEN value RLIKE '\\\\p{IsGreek}' THEN 'greek' ELSE 'latin' END"
 
 
 def _gender() -> str:
-    first = f"regexp_extract(value, {_sql(f'^(?:(?:{_TITLES}){chr(92)}.? )?({_WORD})')}, 1)"
-    title = "regexp_extract(value, '^([\\\\p{L}]+)', 1)"
-    cases = [f"WHEN array_contains({_list(HONORIFICS[g])}, {title}) THEN '{g}'" for g in "fm"]
-    cases += [f"WHEN array_contains({_list(' '.join(v for (h, _), v in GIVEN.items() if h == g))}, {first}) THEN '{g}'" for g in "fm"]
-    return f"CASE WHEN kind <> 'name' THEN NULL {' '.join(cases)} END"
+    titles = "split(title, '[. ]+')"
+    cases = [f"WHEN arrays_overlap({_list(HONORIFICS[g])}, {titles}) THEN '{g}'" for g in "fm"]
+    cases += [f"WHEN array_contains({_list(' '.join(v for (h, _), v in GIVEN.items() if h == g))}, value) THEN '{g}'" for g in "fm"]
+    return f"CASE WHEN kind <> 'given' THEN NULL {' '.join(cases)} END"
 
 
 def _byte(i: str) -> str:
@@ -133,9 +142,12 @@ def _with_core(entities: DataFrame, key: str) -> DataFrame:
     out = entities.withColumn("stream", stream)
     extra = "greatest(0, draw - 5)"
     any_ = _like("$c", "$i")
-    out = out.withColumn("body", F.expr(_each("canon", any_)))
-    hexes = _each("canon", f"substring('0123456789abcdef', 1 + pmod({_byte('$i')}, 16), 1)")
-    digits = _each("canon", f"IF($i = 0, $c, string(pmod({_byte('$i')}, 10)))")
+    out = out.withColumn("form", F.expr(f"IF(kind IN ('card', 'phone', 'ssn', 'iban', 'secret'), concat(canon, repeat('0', {extra})), canon)"))
+    out = out.withColumn("body", F.expr(_each("form", any_)))
+    hexes = _each("form", f"substring('0123456789abcdef', 1 + pmod({_byte('$i')}, 16), 1)")
+    code = f"CASE WHEN canon NOT LIKE '+%' THEN 1 WHEN instr('{ONE_DIGIT}', substring(canon, 2, 1)) > 0 THEN 2 WHEN array_contains({_list(TWO_DIGITS)}, substring(canon, 2, 2)) THEN 3 ELSE 4 END"
+    out = out.withColumn("code", F.expr(code))
+    digits = _each("form", f"IF($i < code, $c, string(pmod({_byte('$i')}, 10)))")
     out = out.withColumn("digits", F.expr(f"CASE WHEN kind IN ('card', 'phone', 'ssn') THEN {digits} END"))
     # A card's last digit gives the number the remainder that the original has.
     out = out.withColumn("card", F.expr("CASE WHEN kind = 'card' THEN concat(substring(digits, 1, length(digits) - 1), '0') END"))
@@ -143,7 +155,9 @@ def _with_core(entities: DataFrame, key: str) -> DataFrame:
     out = out.withColumn("account", F.expr("CASE WHEN kind = 'iban' THEN concat(substring(body, 5), substring(canon, 1, 2), '00') END"))
     syllables = {s: f"array_join(transform(sequence(1, 3 + {extra}), i -> element_at({_list(x)}, 1 + pmod({_byte('i + 3')}, {len(x.split())}))), '')" for s, x in SYLLABLES.items()}
     surname = "CASE script " + " ".join(f"WHEN '{s}' THEN {x}" for s, x in syllables.items()) + " END"
-    givens = " ".join(f"WHEN pick = '{g}' AND script = '{s}' THEN element_at({_list(x)}, 1 + pmod({_byte('1')}, {len(x.split())}))" for (g, s), x in GIVEN.items())
+    one = lambda x, i: f"element_at({_list(x)}, 1 + pmod({_byte(i)}, {len(x.split())}))"
+    # A given name, then two of them, then a surname's syllables behind these.
+    givens = " ".join(f"WHEN pick = '{g}' AND script = '{s}' THEN concat({one(x, '1')}, IF(draw < 3, '', concat('-', {one(x, '40')})))" for (g, s), x in GIVEN.items())
     out = out.withColumn("pick", F.expr(f"coalesce(gender, IF({_byte('2')} < 128, 'f', 'm'))"))
     core = f"""CASE kind
       WHEN 'email' THEN concat(substring_index(body, '@', 1), IF(draw > 5, concat('.', array_join(transform(sequence(1, {extra}), i -> substring('{LETTERS['latin']}', 1 + pmod({_byte('i + 70')}, 26), 1)), '')), ''),
@@ -152,62 +166,115 @@ def _with_core(entities: DataFrame, key: str) -> DataFrame:
       WHEN 'iban' THEN concat(substring(canon, 1, 2), lpad(string(98 - {_mod97('account')}), 2, '0'), substring(body, 5))
       WHEN 'secret' THEN IF(canon RLIKE '^[0-9a-f]+$', {hexes}, concat(regexp_extract(canon, '^(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?', 0), substring(body, 1 + length(regexp_extract(canon, '^(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?', 0)))))
       WHEN 'card' THEN card
-      WHEN 'name' THEN lower(IF(canon LIKE '% %', concat(CASE {givens} END, ' ', {surname}), {surname}))
+      WHEN 'given' THEN lower(concat(CASE {givens} END, IF(draw < 6, '', concat('-', {surname}))))
+      WHEN 'surname' THEN {surname}
       ELSE digits END"""
-    return out.withColumn("core", F.expr(core)).drop("stream", "body", "digits", "card", "account", "pick")
+    return out.withColumn("core", F.expr(core)).drop("stream", "form", "code", "body", "digits", "card", "account", "pick")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, core of distinct entities(kind, canon, gender, script); no two have one core, and no core is an entity."""
     left = entities.withColumn("draw", F.lit(0))
-    taken = entities.select("kind", F.col("canon").alias("core"))
+    taken = entities.select(F.col("canon").alias("core"))
     done = None
-    for _ in range(ROUNDS):
+    while True:  # forms grow with the draws, so all find a core
         drawn = _with_core(left, key)
-        free = drawn.join(taken, ["kind", "core"], "left_anti")
-        winners = free.groupBy("kind", "core").agg(F.min("canon").alias("canon"))
-        now = cut(winners.select("kind", "canon", "core"))
+        free = drawn.join(taken, "core", "left_anti")
+        winners = free.groupBy("core").agg(F.min(F.struct("kind", "canon")).alias("of"))
+        now = cut(winners.select("of.kind", "of.canon", "core"))
         done = now if done is None else done.unionByName(now)
         left = cut(left.join(now, ["kind", "canon"], "left_anti").withColumn("draw", F.col("draw") + 1))
         if left.isEmpty():
             return done
-        taken = taken.unionByName(now.select("kind", "core"))
-    raise ValueError("too many entities of one form for distinct surrogates of that form")
+        taken = taken.unionByName(now.select("core"))
 
 
 def _spelled() -> str:
     """The surrogate core in the spelling of value."""
     digits_before = "length(regexp_replace(substring(value, 1, i), '[^0-9]', ''))"
-    in_places = f"array_join(transform(sequence(0, length(value) - 1), i -> IF(substring(value, i + 1, 1) RLIKE '[0-9]', substring(core, {digits_before} + 1, 1), substring(value, i + 1, 1))), '')"
+    digits = "replace(core, '+', '')"
+    in_places = f"array_join(transform(sequence(0, length(value) - 1), i -> IF(substring(value, i + 1, 1) RLIKE '[0-9]', substring({digits}, {digits_before} + 1, 1), substring(value, i + 1, 1))), '')"
+    in_places = f"concat({in_places}, substring({digits}, 1 + length(regexp_replace(value, '[^0-9]', ''))))"
     letters_before = "length(replace(substring(value, 1, i), ' ', ''))"
     grouped = f"array_join(transform(sequence(0, length(value) - 1), i -> IF(substring(value, i + 1, 1) = ' ', ' ', substring(core, {letters_before} + 1, 1))), '')"
-    title = f"regexp_extract(value, {_sql(_BARE)}, 0)"
-    bare = f"regexp_replace(value, {_sql(_BARE)}, '')"
-    cased = f"IF({bare} = upper({bare}), upper(core), array_join(transform(split(core, ' '), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), ' '))"
+    grouped = f"concat({grouped}, substring(core, 1 + length(replace(value, ' ', ''))))"
+    cased = "IF(length(value) > 1 AND value = upper(value), upper(core), array_join(transform(split(core, '-'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '-'))"
     return f"""CASE kind WHEN 'ip' THEN core
       WHEN 'email' THEN IF(value = upper(value), upper(core), core)
       WHEN 'secret' THEN IF(canon <> value AND value = upper(value), upper(core), core)
       WHEN 'iban' THEN {grouped}
-      WHEN 'name' THEN concat({title}, {cased})
+      WHEN 'given' THEN {cased}
+      WHEN 'surname' THEN {cased}
       ELSE {in_places} END"""
 
 
+def _parts() -> str:
+    """A match's entities in order, each with the text before it: a name's given name and surname, else the value itself."""
+    title = f"regexp_extract(whole, {_sql(_BARE)}, 0)"
+    words = f"split(regexp_replace(whole, {_sql(_BARE)}, ''), ' ')"
+    known = _list(" ".join(GIVEN.values()))
+    part = lambda kind, title, value: f"named_struct('kind', {kind}, 'title', {title}, 'value', {value})"
+    one = part(f"IF(array_contains({known}, {words}[0]), 'given', 'surname')", title, f"{words}[0]")
+    two = f"array({part(_sql('given'), title, f'{words}[0]')}, {part(_sql('surname'), _sql(' '), f'{words}[1]')})"
+    return f"CASE WHEN kind <> 'name' THEN array({part('kind', _sql(''), 'whole')}) WHEN size({words}) = 1 THEN array({one}) ELSE {two} END"
+
+
+def _matches(rows: DataFrame, pattern: str) -> DataFrame:
+    """k, id, at, whole, lead (the text before it), tail (the text behind it) of each match of a text."""
+    found = rows.select("k", "id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("wholes"), "text").where("size(wholes) > 0")
+    between = F.split("text", pattern, -1)
+    each = F.transform(F.sequence(F.lit(0), F.size("wholes") - 1), lambda i: F.struct(F.get("wholes", i).alias("whole"), F.get("between", i).alias("lead"), F.get("between", i + 1).alias("tail")))
+    return found.withColumn("between", between).select("k", "id", F.posexplode(each).alias("at", "m")).select("k", "id", "at", "m.*").dropDuplicates(["k", "id", "at"])
+
+
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """k, id, at, kind, whole of all capitalised words and matches of the texts that hold names; found has surnames by text.
+
+    A word's kind is surname if the text has that surname in a full name; given if it
+    stands right before one in mid-sentence; else it is null, and the word stays.
+    """
+    own = cut(found.select("k", "id", F.explode("parts").alias("p")).where("p.kind = 'surname'").select("k", "id", F.lower("p.value").alias("canon")).distinct())
+    texts = own.select("k", "id").distinct()
+    held = rows.join(small(cut(texts.select("k").distinct())), "k", "left_semi").alias("r")
+    held = held.join(texts.alias("t"), (F.col("t.k") == F.col("r.k")) & F.col("t.id").eqNullSafe(F.col("r.id")), "left_semi")
+    words = cut(_matches(held, WIDE).withColumn("kind", type_of(F.col("whole"))))
+    w, o = words.alias("w"), own.alias("o")
+    same = (F.col("o.k") == F.col("w.k")) & F.col("o.id").eqNullSafe(F.col("w.id")) & (F.col("o.canon") == F.lower("w.whole")) & F.col("w.kind").isNull()
+    told = w.join(o, same, "left").select("w.*", F.col("o.canon").isNotNull().alias("is_surname"))
+    before_one = F.lead("is_surname").over(Window.partitionBy("k", "id").orderBy("at"))
+    given = before_one & (F.col("tail") == " ") & F.col("lead").rlike(r"[\p{Ll},] $") & ~F.col("whole").isin((" ".join(HONORIFICS.values())).split())
+    kind = F.coalesce("kind", F.when(F.col("is_surname"), "surname").when(given, "given"))
+    return told.select("k", "id", "at", kind.alias("kind"), "whole")
+
+
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with surrogates, n_entities, kinds (sorted) for every row of docs."""
+    """doc_id, text with surrogates, n_entities (replaced stretches), kinds (sorted) for every row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("id", "text"))
-    found = cut(rows.select("k", "id", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "value")).dropDuplicates(["k", "id", "at"]))
-    values = found.groupBy("value").agg(F.lit(1).alias("one")).select("value", type_of(F.col("value")).alias("kind"))
-    values = cut(values.select("value", "kind", F.expr(CANON).alias("canon"), F.expr(SCRIPT).alias("script"), F.expr(_gender()).alias("gender")))
+    found = rows.select("k", "id", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "whole")).dropDuplicates(["k", "id", "at"])
+    found = cut(found.withColumn("kind", type_of(F.col("whole"))).withColumn("parts", F.expr(_parts())).withColumn("wide", F.lit(False)))
+    named = found.where("kind = 'name'")
+    if not named.isEmpty():
+        wide = _named(rows, named).withColumn("parts", F.when(F.col("kind").isNotNull(), F.expr(_parts())))
+        wide = cut(wide.withColumn("wide", F.lit(True)))
+        w, f = wide.select("k", "id").distinct().alias("w"), found.alias("f")
+        rest = f.join(w, (F.col("w.k") == F.col("f.k")) & F.col("w.id").eqNullSafe(F.col("f.id")), "left_anti")
+        found = rest.select("f.*").unionByName(wide)
+    of_match = found.where("kind IS NOT NULL").select("kind", "whole", "parts").groupBy("kind", "whole").agg(F.first("parts").alias("parts"))
+    values = of_match.select(F.col("kind").alias("of"), "whole", F.posexplode("parts").alias("n", "p")).select("of", "whole", "n", "p.*")
+    values = cut(values.select("of", "whole", "n", "kind", "title", "value", F.expr(CANON).alias("canon"), F.expr(SCRIPT).alias("script"), F.expr(_gender()).alias("gender")))
     entities = cut(values.groupBy("kind", "canon").agg(F.min("script").alias("script"), F.max("gender").alias("gender")))
-    spelled = cut(values.join(surrogates(entities, key), ["kind", "canon"]).select("value", "kind", F.expr(_spelled()).alias("stand")))
+    spelled = values.join(surrogates(entities, key), ["kind", "canon"]).select("of", "whole", F.struct("n", F.concat("title", F.expr(_spelled())).alias("text")).alias("part"))
+    spelled = cut(spelled.groupBy("of", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("stand")))
 
-    in_docs = found.join(spelled, "value").groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("at", "stand"))).alias("stands"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    stands = found.join(spelled.withColumnRenamed("of", "kind"), ["kind", "whole"], "left").select("k", "id", "at", "kind", "wide", F.coalesce("stand", "whole").alias("stand"))
+    what = F.when(F.col("kind").isin("given", "surname"), "name").otherwise(F.col("kind"))
+    in_docs = stands.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("at", "stand"))).alias("stands"), F.array_sort(F.collect_set(what)).alias("kinds"), F.count("kind").alias("n_entities"), F.max("wide").alias("wide"))
     in_docs = cut(in_docs)
-    touched = small(in_docs.select("k").distinct())
+    touched = small(cut(in_docs.select("k").distinct()))
     t, d = rows.join(touched, "k", "left_semi").alias("t"), in_docs.alias("d")
-    both = t.join(d, (F.col("t.k") == F.col("d.k")) & F.col("t.id").eqNullSafe(F.col("d.id"))).select("t.id", "t.text", "d.stands", "d.kinds")
-    pieces = F.split("text", ANY, -1)
-    woven = F.array_join(F.zip_with(pieces, F.concat(F.transform("stands", lambda s: s["stand"]), F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
-    changed = both.select(F.col("id").alias("doc_id"), woven.alias("text"), F.size("stands").cast("long").alias("n_entities"), "kinds")
+    both = t.join(d, (F.col("t.k") == F.col("d.k")) & F.col("t.id").eqNullSafe(F.col("d.id"))).select("t.id", "t.text", "d.stands", "d.kinds", "d.n_entities", "d.wide")
+    between = F.when(F.col("wide"), F.split("text", WIDE, -1)).otherwise(F.split("text", ANY, -1))
+    woven = F.array_join(F.zip_with(between, F.concat(F.transform("stands", lambda s: s["stand"]), F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
+    changed = both.select(F.col("id").alias("doc_id"), woven.alias("text"), "n_entities", "kinds")
     same = rows.join(touched, "k", "left_anti").select(F.col("id").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return same.unionByName(changed)

@@ -213,6 +213,35 @@ def test_private(spark):
     assert replace_private(documents(spark, []), "key").collect() == []
 
 
+def test_private_names_stay_together(spark):
+    texts = [
+        (1, "Mr Miller and Mr John Miller; then Miller spoke. Dr Weber wrote about Lara Weber. Weberin stays, MILLER too."),
+        (2, "Frau Prof. Dr Anna Weber, Lara Weber and Paris. Weber"),
+        (3, "Weber and Miller without a full name stay"),
+        (4, "to +49 151 2345678, +44 20 7946 0958, +351 21 234 5678 and +1 212 555 0100"),
+    ]
+    got = {r.doc_id: r for r in replace_private(documents(spark, texts), "key").collect()}
+    a, b, c, d, e, f, g = re.fullmatch(r"Mr (\S+) and Mr (\S+ )(\S+); then (\S+) spoke. Dr (\S+) wrote about (\S+ )(\S+). Weberin stays, .*", got[1].text).groups()
+    assert a == c == d != "Miller" and e == g != "Weber" and b != "John " and f != "Lara " and a.upper() in got[1].text
+    x = re.fullmatch(r"Frau Prof. Dr (\S+) (\S+), (\S+) (\S+) and Paris. (\S+)", got[2].text).groups()
+    assert x[1] == x[3] == x[4] == e and x[2] == f.strip() and x[0] != "Anna"
+    assert got[3].text == texts[2][1] and (got[3].n_entities, got[1].kinds) == (0, ["name"])
+    assert re.fullmatch(r"to \+49 \d{3} \d{7}, \+44 \d\d \d{4} \d{4}, \+351 \d\d \d{3} \d{4} and \+1 \d{3} \d{3} \d{4}", got[4].text) and "2345678" not in got[4].text
+
+
+def test_private_numbers_grow(spark):
+    """More than half of a form's numbers occur: further surrogates take more digits."""
+    texts = [(i, f"+1 22 {i}") for i in range(10, 100)]
+    out = [r.text for r in replace_private(documents(spark, [(1, " | ".join(t for _, t in texts))]), "key").collect()][0].split(" | ")
+    assert len(set(out)) == 90 and all(x.startswith("+1 ") for x in out) and not set(out) & {t for _, t in texts}
+
+
+def test_private_stands_long_texts(spark):
+    texts = [(1, "a@" + "b." * 8000), (2, "a@" + "b." * 500_000 + "de"), (3, "Ab" * 500_000), (4, "1 " * 20_000), (5, "x" * 1_000_000 + "@y.de"), (6, "Mr " * 20_000 + "; Dr Weber")]
+    got = {r.doc_id: r.text for r in replace_private(documents(spark, texts), "key").collect()}
+    assert len(got) == 6 and got[3] == texts[2][1] and not got[6].endswith("Weber")
+
+
 def test_private_stays_distinct(spark):
     """More short addresses than there are short surrogates."""
     texts = [(i, f"{a}{b}@x.de") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
