@@ -134,7 +134,7 @@ def _phrases(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), rows: int = TRAINING_ROWS) -> Lexicon:
     """docs(doc_id, text); labels(doc_id, toxic)."""
     known = sample(training(labels, "toxic"), rows)
-    learn = docs.join(F.broadcast(known), "doc_id").select("label", "text")
+    learn = cut(docs.join(F.broadcast(known), "doc_id").select("label", "text"))
     toxic, other = learn.where("label = 1"), learn.where("label = 0")
     sizes = dict(learn.groupBy("label").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
