@@ -63,15 +63,18 @@ def _gram(start: int, n: int) -> str:
 
 
 def fingerprints(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """id, k, words, at, key of each window's kept k-gram: its place and hash.
+    """id, k, words, at, key of each kept k-gram: its place and hash.
 
-    The offset in the window stands in a hash's low bits, so the least one tells it.
+    The offset in the window stands in a hash's low bits, so the least one tells it. A
+    window that keeps the place that the one before it keeps adds no row.
     """
     w = span - k + 1
-    low = (1 << max(1, (w - 1).bit_length())) - 1
-    least = F.expr(f"least({', '.join(f'({_gram(j, k)} & ~{low}L) | {j}L' for j in range(w))})")
-    kept = _placed(rows, span).select("id", "k", "words", "s", least.alias("least"))
-    return kept.select("id", "k", "words", F.expr(f"s + int(least & {low}L)").alias("at"), F.expr(f"least & ~{low}L").alias("key"))
+    low = (1 << max(1, w.bit_length())) - 1
+    grams = _placed(rows, span).select("id", "k", "words", "s", *(F.expr(f"({_gram(j, k)} & ~{low}L) | {j + 1}L").alias(f"g{j}") for j in range(w)), F.expr(f"IF(s > 1, {_gram(-1, k).replace('[s + -2', '[greatest(s, 2) - 2')} & ~{low}L, NULL)").alias("before"))
+    least = F.least(*(f"g{j}" for j in range(w))).alias("least")
+    kept = grams.select("id", "k", "words", "s", least, F.least("before", *(f"g{j}" for j in range(w - 1))).alias("last"), F.col("before").isNull().alias("first"))
+    kept = kept.where("first OR least <> last")
+    return kept.select("id", "k", "words", F.expr(f"s - 1 + int(least & {low}L)").alias("at"), F.expr(f"least & ~{low}L").alias("key"))
 
 
 def _around(side: str, span: int, k: int) -> list[Column]:
@@ -108,25 +111,28 @@ def _runs(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     return ends.where(f"stop - start >= {span}")
 
 
-def _whole(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same for items of exactly n words."""
-    known = items.where(F.size("words") == n).select(F.col("id").alias("item_id"), F.col("words").alias("own"), F.expr(_gram(0, n).replace("s + ", "1 + ")).alias("key")).distinct()
-    each = _placed(docs, n).select("id", "k", "words", F.col("s").alias("at"), F.expr(_gram(0, n)).alias("key"))
-    run = F.expr(f"slice(words, at, {n})").alias("run")
+def _whole(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for items of exactly so many words: one pass looks for all lengths at each place."""
+    of = lambda n: F.expr(_gram(0, n).replace("s + ", "1 + "))
+    key = F.coalesce(*(F.when(F.size("words") == n, of(n)) for n in lengths))
+    known = items.where(F.size("words").isin(lengths)).select(F.col("id").alias("item_id"), F.col("words").alias("own"), F.size("words").alias("n"), key.alias("key")).distinct()
+    each = _placed(docs, 1)
+    keys = F.explode(F.array_compact(F.array(*(F.when(F.expr(f"s <= size(hashes) - {n - 1}"), F.struct(F.lit(n).alias("n"), F.expr(_gram(0, n)).alias("key"))) for n in lengths))))
+    each = each.select("id", "k", "words", F.col("s").alias("at"), keys.alias("run")).select("id", "k", "words", "at", "run.*")
+    run = F.expr("slice(words, at, n)").alias("run")
     if known.count() <= BROADCAST_ROWS:
-        hits = each.join(F.broadcast(known), "key").select("id", "k", "at", "item_id", "own", run)
+        hits = each.join(F.broadcast(known), ["n", "key"]).select("id", "k", "at", "n", "item_id", "own", run)
     else:
-        hits = each.select("id", "k", "at", "key", run).join(known, "key")
-    return hits.where("own = run").select("id", "k", "item_id", F.col("at").alias("start"), (F.col("at") + n).alias("stop"))
+        hits = each.select("id", "k", "at", "n", "key", run).join(known, ["n", "key"])
+    return hits.where("own = run").select("id", "k", "item_id", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop"))
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, k (hash of id and text), item_id, start, stop (word places, from 1) of all shared runs."""
     docs, items = _cut_words(_rows(docs, id_col, text_col)), _cut_words(_rows(items, item_id, item_text))
     found = _runs(docs, items, span, k)
-    for (n,) in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct().collect():  # fewer than span
-        found = found.unionByName(_whole(docs, items, n))
-    return found
+    lengths = sorted(n for (n,) in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct().collect())  # fewer than span
+    return found.unionByName(_whole(docs, items, lengths)) if lengths else found
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", **of_items: str) -> DataFrame:
