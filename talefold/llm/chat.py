@@ -94,31 +94,42 @@ def formatted(messages: DataFrame, steps: DataFrame, start: str = START, end: st
     texts = messages.select(_tree(), "node", "role", "text")
     rows = steps.join(texts, ["tree", "node"])
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    turn = F.struct("at", F.concat(F.lit(start), role, F.lit("\n")).alias("head"), text.alias("body"), F.concat(F.lit(end), F.lit("\n")).alias("tail"), F.coalesce(F.col("role") == speaks, F.lit(False)).alias("mask"))
-    grouped = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    output = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
-    ends = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).alias("at"),
-            F.when(x["mask"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["head"])).cast("long").alias("start"), F.length(x["body"]).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return grouped.select("tree", "leaf", output.alias("output"), ends["spans"].alias("loss"))
+    head = F.concat(F.lit(start), role, F.lit("\n"))
+    turn = F.concat(head, text, F.lit(end), F.lit("\n"))
+    turns = rows.select("tree", "leaf", "at", turn.alias("turn"), F.length(head).alias("n_head"), F.length(text).cast("long").alias("length"), F.coalesce(F.col("role") == speaks, F.lit(False)).alias("mask"))
+    before = Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("start", (F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0)) + F.col("n_head")).cast("long"))
+    grouped = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "turn"))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("mask"), F.struct("start", "length")))).alias("loss"))
+    return grouped.select("tree", "leaf", F.array_join(F.transform("turns", lambda x: x["turn"]), "").alias("output"), "loss")
 
 
 def read_back(outputs: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """tree, turns (role, text), masked (texts under the loss mask), formatted_chars, parsed from the output alone."""
+    """tree, leaf, turns (role, text), masked (texts under the loss mask), formatted_chars, parsed from the output alone.
+
+    A turn's place is the running sum of the lengths before it, and each stretch of the
+    mask meets the turn that begins last before it, so the work grows with the length.
+    """
     # Escaped texts hold no mark, so the marks part the turns.
-    parts = F.filter(F.split("output", _literal(start)), lambda x: x != "")
-    cut_at = lambda x: F.instr(x, "\n")
-    turn = lambda x: F.struct(
-        unescape(F.substring_index(x, "\n", 1)).alias("role"),
-        unescape(F.substring(x, cut_at(x) + 1, F.length(x) - cut_at(x) - F.lit(len(end) + 1))).alias("text"),
+    parts = outputs.select("tree", "leaf", F.posexplode(F.split("output", _literal(start))).alias("n", "part")).where("n > 0")
+    role = unescape(F.substring_index("part", "\n", 1))
+    text = F.expr(f"substring(part, instr(part, '\n') + 1, length(part) - instr(part, '\n') - {len(end) + 1})")
+    in_order = Window.partitionBy("tree", "leaf").orderBy("n")
+    place = F.sum(F.length("part") + F.lit(len(start))).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("part")
+    turns = parts.select("tree", "leaf", "n", "part", place.cast("long").alias("place"), role.alias("role"), unescape(text).alias("text"))
+    masks = outputs.select("tree", "leaf", F.explode("loss").alias("m"))
+    both = turns.select("tree", "leaf", "place", "n", "part", "role", "text", F.lit(None).cast("long").alias("length")).unionByName(
+        masks.select("tree", "leaf", F.col("m.start").alias("place"), F.col("m.length").alias("length")), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy("tree", "leaf").orderBy("place", F.col("length").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = F.last(F.when(F.col("n").isNotNull(), F.struct("place", "part")), True).over(so_far)
+    met = both.withColumn("of", of)
+    masked = F.when(F.col("n").isNull(), F.struct("place", unescape(F.expr("substring(of.part, int(place - of.place) + 1, int(length))")).alias("text")))
+    read = met.groupBy("tree", "leaf").agg(
+        F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "role", "text")))).alias("turns"),
+        F.array_sort(F.collect_list(masked)).alias("masked"),
+        F.sum(F.when(F.col("n").isNotNull(), F.length("part") + F.lit(len(start)))).cast("long").alias("formatted_chars"),
     )
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("output"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return outputs.select("tree", F.transform(parts, turn).alias("turns"), masked.alias("masked"), F.length("output").cast("long").alias("formatted_chars"))
+    return read.select("tree", "leaf", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"), F.transform("masked", lambda x: x["text"]).alias("masked"), "formatted_chars")
 
 
 def _literal(mark: str) -> str:
