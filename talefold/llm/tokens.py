@@ -21,7 +21,7 @@ SPACE, LETTER, NUMBER, OTHER, END, UNKNOWN = range(6)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words that an encoder remembers, their longest, and code points that are looked at together.
-WORDS_KEPT, LONG_WORD, SLAB = 200_000, 64, 600_000
+WORDS_KEPT, LONG_WORD, SLAB = 100_000, 64, 400_000
 
 
 @functools.cache
