@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, small
+from .scratch import cut, slices, small
 from .shingles import mix, shingle_set, shingles
 
 PERCENT, WORDS = 75, 5
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """SIGNATURE columns, one row per document; no set key, bands and planes for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, n, sets, keys, planes = batch.column(0), [], [], [], []
             for doc, text in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingles(text, words)

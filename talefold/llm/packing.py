@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, slices
 from .tokens import Encoder
 
 ROOM, END_ID = 1024, 2
@@ -44,18 +45,22 @@ def cut_points(n: int, room: int) -> list[int]:
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with the CRC-32 of its ids as little-endian 32-bit numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, ranks)
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"].tolist(), encoder.ids(batch["text"].tolist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                at = cut_points(len(ids), room)
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for part in slices(batch):
+                rows = []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    at = cut_points(len(ids), room)
+                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, PIECES)
 
 
 def least_bins(lengths: np.ndarray, room: int) -> int:

@@ -48,5 +48,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def slices(batch, rows: int = 500):
+    """Parts of an Arrow batch, so that Python objects are made for a few rows at a time."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
