@@ -137,6 +137,45 @@ def run_plan(hashes: DataFrame, state: DataFrame, now_ms: int, patience_ms: int
     return rows.select("recording_id", "chunk_no", action.alias("action"))
 
 
+def reuse_verdicts(chunks: DataFrame, state: DataFrame, outputs: DataFrame, faulty: DataFrame) -> DataFrame:
+    """recording_id, chunk_no, reason: 'reusable', or the first reason against it in fixed order.
+
+    chunks(recording_id, chunk_no, input_hash), state(..., status, known_hash, output_hash),
+    outputs(..., parses, told_chunk, told_hash, actual_hash), faulty(recording_id, chunk_no) with findings.
+    """
+    by = ["recording_id", "chunk_no"]
+    bad = faulty.select(*by).distinct().withColumn("bad", F.lit(True))
+    rows = chunks.join(state, by, "left").join(outputs.withColumn("there", F.lit(True)), by, "left").join(bad, by, "left")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    reasons = [
+        (differs("status", "done"), "not_completed"),
+        (F.col("there").isNull(), "output_missing"),
+        (differs("known_hash", "input_hash"), "input_changed"),
+        (~F.coalesce("parses", F.lit(False)), "output_invalid"),
+        (differs("told_chunk", "chunk_no"), "chunk_mismatch"),
+        (differs("told_hash", "known_hash"), "output_of_other_input"),
+        (differs("output_hash", "actual_hash"), "output_changed"),
+        (F.coalesce("bad", F.lit(False)), "provenance"),
+    ]
+    out = F.lit("reusable")
+    for holds, name in reversed(reasons):
+        out = F.when(holds, name).otherwise(out)
+    return rows.withColumn("done", F.lit("completed")).select(*by, out.alias("reason"))
+
+
+def run_statistics(plan: DataFrame) -> DataFrame:
+    """recording_id and the number of chunks of each action of a run plan."""
+    names = ["reuse", "wait", "failed", "execute"]
+    return plan.groupBy("recording_id").agg(*(F.count_if(F.col("action") == n).alias(f"n_{n}") for n in names), F.count("*").alias("n_chunks"))
+
+
+def index_ranges(ranges: DataFrame, segments: DataFrame) -> DataFrame:
+    """recording_id, chunk_no, seg_idx, text for ranges(recording_id, chunk_no, low, high) of index values; missing ones are skipped, of equal ones the last by pos wins."""
+    last = segments.groupBy("recording_id", "seg_idx").agg(F.max_by("text", "pos").alias("text"))
+    spread = ranges.select("recording_id", "chunk_no", F.explode(F.sequence("low", "high")).alias("seg_idx"))
+    return spread.join(last, ["recording_id", "seg_idx"]).select("recording_id", "chunk_no", "seg_idx", "text")
+
+
 def extract_items(covered: DataFrame) -> DataFrame:
     """Items of a stand-in extractor: a topic from a chunk's first segment, key points from its first and last.
 

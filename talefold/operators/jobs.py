@@ -94,16 +94,33 @@ def reconcile(jobs: DataFrame, files: DataFrame, now: Column, grace_s: int = 300
     return rows.select("recording_id", stage.alias("next_stage"), action.alias("action"))
 
 
+def listing(jobs: DataFrame, tombstones: DataFrame, top: int) -> DataFrame:
+    """The newest `top` jobs of recordings that are not deleted."""
+    return live(jobs, tombstones).orderBy(F.desc("created_at"), "job_id").limit(top).select("job_id", "recording_id", "status", "created_at")
+
+
+def event_listing(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, n, event_id, event: the events of the given jobs, numbered in order."""
+    n = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id"))
+    return events.join(jobs.select("job_id").distinct(), "job_id", "left_semi").select("job_id", n.alias("n"), "event_id", "event")
+
+
+def chunk_times(spans: DataFrame) -> DataFrame:
+    """key, n, elapsed_ms, longest_ms of spans(key, start_at, end_at)."""
+    ms = F.floor((F.unix_micros(F.col("end_at").cast("timestamp")) - F.unix_micros(F.col("start_at").cast("timestamp"))) / 1000)
+    return spans.groupBy("key").agg(F.count("*").alias("n"), F.sum(ms).alias("elapsed_ms"), F.max(ms).alias("longest_ms"))
+
+
 def event_profile(events: DataFrame) -> DataFrame:
     """job_id with counts of claims, failures and completions; heartbeats, the bulk, are dropped first."""
     return events.where("event <> 'heartbeat'").groupBy("job_id").agg(F.count_if(F.col("event") == "claim").alias("n_claims"), F.count_if(F.col("event") == "failure").alias("n_failures"), F.count_if(F.col("event") == "completed").alias("n_completed")).withColumn("recovered", F.expr("n_claims >= 2 AND n_failures >= 1 AND n_completed >= 1"))
 
 
-def fenced(updates: DataFrame, jobs: DataFrame) -> DataFrame:
-    """job_id, seq, verdict: updates count where owner and token match; of these the last per job is applied."""
-    j = jobs.select("job_id", "claimed_by", F.col("claim_token").alias("token"), "cancel_requested")
+def fenced(updates: DataFrame, jobs: DataFrame, generations: DataFrame) -> DataFrame:
+    """job_id, seq, verdict: updates count where owner and token match and the job's generation is the current one; of these the last per job is applied."""
+    j = current(jobs, generations).select("job_id", "claimed_by", F.col("claim_token").alias("token"), "cancel_requested", "is_current")
     rows = updates.join(j, "job_id", "left")
-    own = F.coalesce((F.col("worker_id") == F.col("claimed_by")) & (F.col("claim_token") == F.col("token")) & ~F.col("cancel_requested"), F.lit(False))
+    own = F.coalesce((F.col("worker_id") == F.col("claimed_by")) & (F.col("claim_token") == F.col("token")) & ~F.col("cancel_requested") & F.col("is_current"), F.lit(False))
     last = F.max(F.when(own, F.col("seq"))).over(Window.partitionBy("job_id"))
     return rows.select("job_id", "seq", F.when(~own, "ownership_lost").when(F.col("seq") == last, "applied").otherwise("overwritten").alias("verdict"))
 

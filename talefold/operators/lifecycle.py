@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recordings import is_placeholder
+from ..functions.text import strip
+from .records import PLACEHOLDERS
+
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+DEFAULTS = {"language": "ko", "type": "meeting"}
 ALLOWED = ["m4a", "mp3", "wav", "aac", "ogg", "flac"]
 
 
@@ -25,6 +30,21 @@ def live_references(files: DataFrame, refs: DataFrame) -> DataFrame:
     return files.join(refs, "file_id", "left").groupBy("file_id").agg(F.count_if(F.coalesce("active", F.lit(False))).alias("n_live"))
 
 
+def orphan_files(files: DataFrame, refs: DataFrame, now, age_s: int = 300) -> DataFrame:
+    """file_id of finished files(file_id, finished_at) that nothing refers to and that are older than age_s."""
+    return files.where(F.col("finished_at") < now - F.expr(f"INTERVAL {age_s} SECONDS")).join(refs.select("file_id"), "file_id", "left_anti").select("file_id")
+
+
+def purge_status(plan: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """purge_id, server, device, overall of a plan and reports(purge_id, server, device); and the purge_id that wait for the device."""
+    rows = plan.select("purge_id", "ready").join(reports, "purge_id", "left")
+    server = F.when(~F.col("ready"), "blocked").otherwise(F.coalesce("server", F.lit("pending")))
+    device = F.coalesce("device", F.lit("pending"))
+    overall = F.when(server == "blocked", "blocked").when((server == "done") & (device == "done"), "done").when((server == "failed") | (device == "failed"), "failed").otherwise("pending")
+    out = rows.select("purge_id", server.alias("server"), device.alias("device"), overall.alias("overall"))
+    return out, out.where("server = 'done' AND device = 'pending'").select("purge_id")
+
+
 def purge_plan(intents: DataFrame, refs: DataFrame) -> DataFrame:
     """purge_id, n_files, n_purgeable, ready: a file may go if nothing live refers to it."""
     n = refs.groupBy("file_id").agg(F.count_if("active").alias("n_live"))
@@ -64,16 +84,27 @@ def safe_to_delete(recordings: DataFrame, mentioned: DataFrame, files: DataFrame
 
 
 def sweep_edit_leases(edits: DataFrame, now) -> DataFrame:
-    """edit_id, state of leases(edit_id, lease_expires_at, grace_until)."""
-    state = F.when(F.col("grace_until") < now, "confirmed").when(F.col("lease_expires_at") < now, "recovery_required").otherwise("held")
+    """edit_id, state of edits(edit_id, state, lease_expires_at, grace_until): leases that ran out, and edits whose time to object is over."""
+    state = F.when((F.col("state") == "EDITING") & (F.col("lease_expires_at") <= now), "EDIT_RECOVERY_REQUIRED").when((F.col("state") == "EDIT_PENDING") & (F.col("grace_until") <= now), "CONFIRMED").otherwise(F.col("state"))
     return edits.select("edit_id", state.alias("state"))
 
 
+def visible_children(recordings: DataFrame) -> DataFrame:
+    """recording_id, n_children: visible recordings(recording_id, parent_id, visible) that were cut out of each one."""
+    return recordings.where("visible AND parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("recording_id")).agg(F.count("*").alias("n_children"))
+
+
 def accept_uploads(uploads: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """uploads with a verdict: accepted, or why not."""
+    """uploads with a verdict: accepted, or why not. Titles that say nothing become null, and a missing language or type its default."""
     kind = F.lower(F.substring_index("file_name", ".", -1))
     verdict = F.when(~kind.isin(ALLOWED), "bad_type").when(F.col("bytes") > most_bytes, "too_large").when(F.col("bytes") <= 0, "empty").otherwise("accepted")
-    return uploads.withColumn("verdict", verdict)
+    out = uploads.withColumn("verdict", verdict)
+    if "title" in uploads.columns:
+        out = out.withColumn("title", F.when(~is_placeholder(F.col("title"), PLACEHOLDERS), strip("title")))
+    for name, value in DEFAULTS.items():
+        if name in uploads.columns:
+            out = out.withColumn(name, F.coalesce(F.nullif(name, F.lit("")), F.lit(value)))
+    return out
 
 
 def ingest_once(uploads: DataFrame, known: DataFrame) -> DataFrame:

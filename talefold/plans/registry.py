@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, notes, operations, transcripts
+from . import catalog, notes, operations, records, transcripts
 
-MODULES = (transcripts, notes, operations, catalog)
+MODULES = (transcripts, notes, operations, catalog, records)
 
 
 def queries() -> dict:

@@ -105,9 +105,11 @@ def test_token_edits(spark):
 
 
 def test_stale_owner_changes_nothing(spark):
-    table = spark.createDataFrame([(1, "new", "t2", False)], "job_id long, claimed_by string, claim_token string, cancel_requested boolean")
-    updates = spark.createDataFrame([(1, 1, "old", "t1"), (1, 2, "new", "t2"), (1, 3, "new", "t2"), (1, 4, "old", "t2"), (2, 5, "new", "t2")], "job_id long, seq long, worker_id string, claim_token string")
-    assert {r.seq: r.verdict for r in jobs.fenced(updates, table).collect()} == {1: "ownership_lost", 2: "overwritten", 3: "applied", 4: "ownership_lost", 5: "ownership_lost"}
+    schema = "job_id long, recording_id long, generation int, claimed_by string, claim_token string, cancel_requested boolean"
+    table = spark.createDataFrame([(1, 7, 1, "new", "t2", False), (3, 8, 1, "new", "t2", False)], schema)
+    generations = spark.createDataFrame([(7, 1), (8, 2)], "recording_id long, current_generation int")
+    updates = spark.createDataFrame([(1, 1, "old", "t1"), (1, 2, "new", "t2"), (1, 3, "new", "t2"), (1, 4, "old", "t2"), (2, 5, "new", "t2"), (3, 6, "new", "t2")], "job_id long, seq long, worker_id string, claim_token string")
+    assert {r.seq: r.verdict for r in jobs.fenced(updates, table, generations).collect()} == {1: "ownership_lost", 2: "overwritten", 3: "applied", 4: "ownership_lost", 5: "ownership_lost", 6: "ownership_lost"}
 
 
 def test_purge_keeps_what_is_referred_to(spark):
