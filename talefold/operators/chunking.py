@@ -13,8 +13,8 @@ from ..functions.text import digest
 CHUNKED = "recording_id long, seg_idx int, chunk_no int"
 
 
-def fold(rows: DataFrame, start: Callable[[], Callable[[tuple], bool]], columns: list[str], order: str = "seg_idx", out: str = CHUNKED) -> DataFrame:
-    """Numbers groups of consecutive rows of each recording.
+def fold(rows: DataFrame, start: Callable[[], Callable[[tuple], bool]], columns: list[str], order: str = "seg_idx", out: str = CHUNKED, carry: str | None = None) -> DataFrame:
+    """Numbers groups of consecutive rows of each recording; `carry` names one of the columns that the result keeps.
 
     start() gives a rule that is told each row's columns and says whether a new group
     begins with it. Rows are dealt once by recording and stream through in order, so
@@ -30,10 +30,11 @@ def fold(rows: DataFrame, start: Callable[[], Callable[[tuple], bool]], columns:
                     current, rule, number = rec, start(), 0
                 number += rule(values)
                 numbers.append(number)
-            yield pd.DataFrame({"recording_id": batch["recording_id"], order: batch[order], out.split()[-2]: numbers})
+            more = {carry: batch[carry]} if carry else {}
+            yield pd.DataFrame({"recording_id": batch["recording_id"], order: batch[order], out.split()[-2]: numbers} | more)
 
     dealt = rows.select("recording_id", order, *(c for c in columns if c != order)).repartition("recording_id").sortWithinPartitions("recording_id", order)
-    return dealt.mapInPandas(run, out)
+    return dealt.mapInPandas(run, f"{out}, {carry} int" if carry else out)
 
 
 def correction_rule(target: int, longest_ms: int, most: int) -> Callable:
@@ -81,11 +82,14 @@ def correction_chunks(segments: DataFrame, target: int = 1200, longest_ms: int =
     return fold(rows, correction_rule(target, longest_ms, most), ["chars", "start_ms", "end_ms"])
 
 
-def semantic_chunks(segments: DataFrame, target: int = 6000, hard_max: int = 8000) -> DataFrame:
-    """Chunks for extraction; a single segment may pass the target, and is reported by `manifest` if it passes hard_max."""
+def semantic_chunks(segments: DataFrame, target: int = 6000, hard_max: int = 8000, sized: bool = False) -> DataFrame:
+    """Chunks for extraction; a single segment may pass the target, and is reported by `manifest` if it passes hard_max.
+
+    sized: with the characters of each segment, which saves `manifest` a join.
+    """
     if target > hard_max:
         raise ValueError("target is over hard_max")
-    return fold(segments.withColumn("chars", F.length("text")), size_rule(target, 1), ["chars"])
+    return fold(segments.withColumn("chars", F.length("text")), size_rule(target, 1), ["chars"], carry="chars" if sized else None)
 
 
 def pack_groups(sized: DataFrame, limit: int = 24_000) -> DataFrame:
@@ -95,8 +99,8 @@ def pack_groups(sized: DataFrame, limit: int = 24_000) -> DataFrame:
 
 def manifest(segments: DataFrame, chunked: DataFrame, hard_max: int = 8000) -> DataFrame:
     """recording_id, chunk_no, p_start, p_end, n_segments, chars, too_long."""
-    rows = chunked.join(segments, ["recording_id", "seg_idx"])
-    chars = F.sum(F.length("text"))
+    rows = chunked if "chars" in chunked.columns else chunked.join(segments.select("recording_id", "seg_idx", F.length("text").alias("chars")), ["recording_id", "seg_idx"])
+    chars = F.sum("chars")
     return rows.groupBy("recording_id", "chunk_no").agg(F.min("seg_idx").alias("p_start"), F.max("seg_idx").alias("p_end"), F.count("*").alias("n_segments"), chars.alias("chars"), (chars > hard_max).alias("too_long"))
 
 

@@ -22,7 +22,8 @@ def recovered_json(text: Column, noise: list[str]) -> Column:
     fenced = F.regexp_extract(clean, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     first, last = F.instr(clean, "{"), F.length(clean) - F.instr(F.reverse(clean), "}") + 1
     braces = F.when((first > 0) & F.contains(clean, F.lit("}")) & (last > first), F.substring(clean, first, last - first + 1))
-    parses = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    # As the one element of an array, as a parser by itself ignores what follows the first value.
+    parses = lambda c: F.when(F.size(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<variant>")) == 1, c)
     return F.when(fenced != "", F.coalesce(parses(clean), parses(fenced))).otherwise(F.coalesce(parses(clean), parses(braces)))
 
 

@@ -71,6 +71,21 @@ def item_findings(items: DataFrame, covered: DataFrame) -> DataFrame:
     return none.unionByName(bad)
 
 
+def output_findings(expected: DataFrame, outputs: DataFrame, items: DataFrame, least_chars: int = 40) -> DataFrame:
+    """recording_id, chunk_no, kind of what is wrong with a chunk's output as a whole; all of it is fatal.
+
+    expected(recording_id, chunk_no, input_hash, chars), outputs(recording_id, chunk_no,
+    told_chunk, told_hash, summary); an output without summary and items counts as
+    empty if its chunk says more than least_chars characters.
+    """
+    by = ["recording_id", "chunk_no"]
+    some = items.select(*by).distinct().withColumn("some", F.lit(True))
+    rows = outputs.join(expected, by).join(some, by, "left")
+    empty = (F.trim(F.coalesce("summary", F.lit(""))) == "") & F.col("some").isNull() & (F.col("chars") > least_chars)
+    kinds = F.array_compact(F.array(F.when(~F.col("told_chunk").eqNullSafe(F.col("chunk_no")), "chunk_mismatch"), F.when(~F.col("told_hash").eqNullSafe(F.col("input_hash")), "hash_mismatch"), F.when(empty, "empty_output")))
+    return rows.select(*by, F.explode(kinds).alias("kind"))
+
+
 def provenance(items: DataFrame, segments: DataFrame, ids: int = 3, chars: int = 160) -> DataFrame:
     """recording_id, chunk_no, field, pos, sample, all_known: text of an item's first source segments."""
     by = ["recording_id", "chunk_no", "field", "pos"]
@@ -79,9 +94,16 @@ def provenance(items: DataFrame, segments: DataFrame, ids: int = 3, chars: int =
     return each.groupBy(*by).agg(F.array_join(F.transform(told, lambda x: x["text"]), " / ").alias("sample"), F.bool_and(F.col("text").isNotNull()).alias("all_known"))
 
 
-def completeness(state: DataFrame, inventory: DataFrame, required: list[str]) -> DataFrame:
-    """recording_id, n_chunks, n_completed, n_artifacts, complete from chunk states and files(recording_id, role, bytes)."""
+def completeness(state: DataFrame, inventory: DataFrame, required: list[str], durations: DataFrame | None = None, least_s: int = 3600) -> DataFrame:
+    """recording_id, n_chunks, n_completed, n_artifacts, complete from chunk states and files(recording_id, role, bytes).
+
+    With durations(recording_id, duration_sec), a recording has to be long enough too.
+    """
     chunks = state.groupBy("recording_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("status") == "completed").alias("n_completed"))
     files = inventory.where(F.col("role").isin(required) & (F.col("bytes") > 0)).groupBy("recording_id").agg(F.count_distinct("role").alias("n_artifacts"))
     out = chunks.join(files, "recording_id", "left").withColumn("n_artifacts", F.coalesce("n_artifacts", F.lit(0).cast("long")))
-    return out.withColumn("complete", F.expr(f"n_chunks = n_completed AND n_artifacts = {len(required)}"))
+    out = out.withColumn("complete", F.expr(f"n_chunks = n_completed AND n_artifacts = {len(required)}"))
+    if durations is None:
+        return out
+    long_enough = F.coalesce(F.col("duration_sec") >= least_s, F.lit(False))
+    return out.join(durations.select("recording_id", "duration_sec"), "recording_id", "left").withColumn("complete", F.col("complete") & long_enough).drop("duration_sec")

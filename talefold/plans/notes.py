@@ -8,6 +8,7 @@ from ..operators import chunking as C
 from ..operators import diffing as D
 from ..operators import reduce as R
 from ..operators import validate as V
+from ..operators.kept import kept
 from . import transcripts as T
 from .shapes import LONG, SHORT, long_segments, short_segments, table
 
@@ -45,7 +46,8 @@ def pack_groups(spark, d):
 
 
 def two_level_reduce(spark, d):
-    return R.two_levels(_items(spark, d), _groups(spark, d))
+    items = kept(_items(spark, d))
+    return R.two_levels(items, C.pack_groups(R.sizes(items), 500))
 
 
 def note_sections(spark, d):
@@ -63,7 +65,7 @@ def render_note(spark, d):
 def note_flagship(spark, d):
     """Conversations to segments, chunks, items, one merged note each."""
     s = short_segments(spark, d)
-    covered = C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800), 800), s)
+    covered = C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800, sized=True), 800), s)
     return R.render(R.capped(R.union_items(C.extract_items(covered), "recording_id")))
 
 
@@ -113,14 +115,29 @@ def item_findings(spark, d):
     return V.item_findings(_bad_items(spark, d), T._covered(spark, d))
 
 
+def output_findings(spark, d):
+    n = F.col("recording_id") + F.col("chunk_no")
+    expected = T.chunk_hash(spark, d).join(T.chunk_manifest(spark, d).select("recording_id", "chunk_no", "chars"), ["recording_id", "chunk_no"])
+    outputs = expected.select("recording_id", "chunk_no", F.when(n % 5 == 2, F.lit(0)).otherwise(F.col("chunk_no")).alias("told_chunk"), F.when(n % 7 == 3, "x").otherwise(F.col("input_hash")).alias("told_hash"), F.when(n % 2 == 0, "said").otherwise(" ").alias("summary"))
+    return V.output_findings(expected, outputs, _items(spark, d).where((F.col("recording_id") + F.col("chunk_no")) % 3 != 0))
+
+
 def provenance_samples(spark, d):
     return V.provenance(_bad_items(spark, d), long_segments(spark, d))
 
 
 def completeness(spark, d):
-    state = T._state(T.chunk_hash(spark, d))
+    return V.completeness(T._state(T.chunk_hash(spark, d)), _files(spark, d), ["audio", "note"])
+
+
+def long_completeness(spark, d):
+    lengths = table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), F.col("n_chars").alias("duration_sec"))
+    return V.completeness(T._state(T.chunk_hash(spark, d)), _files(spark, d), ["audio", "note"], lengths, 1000)
+
+
+def _files(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), F.explode(F.array(F.lit("audio"), F.lit("note"))).alias("role"), F.col("n_chars").alias("bytes"))
-    return V.completeness(state, files.where("NOT (role = 'note' AND recording_id % 3 = 0)"), ["audio", "note"])
+    return files.where("NOT (role = 'note' AND recording_id % 3 = 0)")
 
 
 def _versions(spark, d):
@@ -140,7 +157,7 @@ def token_edits(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (union_items, capped_items, reduce_summary, reduce_mode, pack_groups, two_level_reduce, note_sections, topic_rule, render_note, note_flagship, correction_findings, correction_merge, conservation, item_findings, provenance_samples, completeness, version_diff, token_edits)
+    for f in (union_items, capped_items, reduce_summary, reduce_mode, pack_groups, two_level_reduce, note_sections, topic_rule, render_note, note_flagship, correction_findings, correction_merge, conservation, item_findings, provenance_samples, completeness, version_diff, token_edits, output_findings, long_completeness)
 }
 
 _EXTRACT = "items AS (" + T.SQL["extract_items"].split("own AS", 1)[1].split("\n", 1)[1] + ")"
@@ -213,6 +230,9 @@ SQL = {
       SELECT recording_id, seg_idx, final IS NOT NULL AND coalesce(final <> text, false) AS changed, final IS NOT NULL AS mapped, chunk_no
       FROM long_segments LEFT JOIN final USING (recording_id, seg_idx) LEFT JOIN chunked USING (recording_id, seg_idx)""",
 }
+SQL["long_completeness"] = f"""WITH w AS ({SQL["completeness"]}) SELECT recording_id, n_chunks, n_completed, n_artifacts, complete AND n_chars >= 1000 AS complete FROM w JOIN documents ON doc_id = recording_id"""
+SQL["output_findings"] = f"""{_ITEMS}, {T._hashes('h', 'covered')}, x AS (SELECT h.recording_id, h.chunk_no, h.recording_id + h.chunk_no AS n, m.chars FROM h JOIN manifest m USING (recording_id, chunk_no))
+  SELECT recording_id, chunk_no, 'chunk_mismatch' AS kind FROM x WHERE n % 5 = 2 UNION ALL SELECT recording_id, chunk_no, 'hash_mismatch' FROM x WHERE n % 7 = 3 UNION ALL SELECT recording_id, chunk_no, 'empty_output' FROM x WHERE n % 2 <> 0 AND n % 3 = 0 AND chars > 40"""
 _PACKED = SQL["pack_groups"].removesuffix("SELECT recording_id, chunk_no, group_no FROM packed").rstrip()
 _INNER = "(SELECT recording_id, group_no AS chunk_no, field, rank AS pos, text, source_segment_ids FROM inner_ WHERE rank <= " + _CAP + ")"
 SQL["two_level_reduce"] = f"""{_PACKED}, grouped AS (SELECT items.*, group_no FROM items JOIN packed USING (recording_id, chunk_no)), {_union('inner_', 'grouped', 'recording_id, group_no')}, {_union('outer_', _INNER, 'recording_id')}

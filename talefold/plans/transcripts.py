@@ -116,9 +116,31 @@ def extract_items(spark, d):
     return C.extract_items(_covered(spark, d))
 
 
+def reuse_verdicts(spark, d):
+    hashes = chunk_hash(spark, d)
+    n = F.col("recording_id") + F.col("chunk_no")
+    state = _state(hashes).withColumnRenamed("input_hash", "known_hash").select("recording_id", "chunk_no", "status", "known_hash", "output_hash")
+    outputs = hashes.where(n % 7 != 6).select("recording_id", "chunk_no", (n % 9 != 4).alias("parses"), (F.col("chunk_no") + F.when(n % 10 == 7, 1).otherwise(0)).alias("told_chunk"), F.when(n % 11 != 8, F.col("input_hash")).otherwise("other").alias("told_hash"), F.when(n % 13 != 9, "out").otherwise("edited").alias("actual_hash"))
+    return C.reuse_verdicts(hashes, state, outputs, hashes.where(n % 17 == 3))
+
+
+def run_statistics(spark, d):
+    return C.run_statistics(chunk_run_plan(spark, d))
+
+
+def _count_words(batches):
+    """An extractor as a user would bring it."""
+    for batch in batches:
+        yield batch.assign(n_words=[len(t.split()) for t in batch["text"]])[["recording_id", "chunk_no", "seg_idx", "n_words"]]
+
+
+def mapped_chunks(spark, d):
+    return C.map_chunks(_covered(spark, d), _count_words, "recording_id long, chunk_no int, seg_idx int, n_words long")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items)
+    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
@@ -211,3 +233,9 @@ SQL = {
       UNION ALL SELECT recording_id, chunk_no, 'key_points', 0, substring(ta, 1, 60), [a] FROM own
       UNION ALL SELECT recording_id, chunk_no, 'key_points', 1, substring(tb, 1, 60), [b] FROM own""",
 }
+_STATES = SQL["chunk_run_plan"].split("\n      SELECT h.recording_id")[0]
+SQL["run_statistics"] = f"""WITH p AS ({SQL["chunk_run_plan"]}) SELECT recording_id, count(*) FILTER (action = 'reuse') AS n_reuse, count(*) FILTER (action = 'wait') AS n_wait, count(*) FILTER (action = 'failed') AS n_failed, count(*) FILTER (action = 'execute') AS n_execute, count(*) AS n_chunks FROM p GROUP BY 1"""
+SQL["reuse_verdicts"] = f"""{_STATES}, x AS (SELECT h.recording_id, h.chunk_no, h.recording_id + h.chunk_no AS n, h.input_hash, status, known, output_hash FROM h LEFT JOIN s USING (recording_id, chunk_no))
+      SELECT recording_id, chunk_no, CASE WHEN status IS DISTINCT FROM 'completed' THEN 'not_completed' WHEN n % 7 = 6 THEN 'output_missing' WHEN known IS DISTINCT FROM input_hash THEN 'input_changed' WHEN n % 9 = 4 THEN 'output_invalid' WHEN n % 10 = 7 THEN 'chunk_mismatch'
+        WHEN n % 11 = 8 THEN 'output_of_other_input' WHEN output_hash IS DISTINCT FROM CASE WHEN n % 13 <> 9 THEN 'out' ELSE 'edited' END THEN 'output_changed' WHEN n % 17 = 3 THEN 'provenance' ELSE 'reusable' END AS reason FROM x"""
+SQL["mapped_chunks"] = rf"{_CHUNKS} SELECT recording_id, chunk_no, seg_idx, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM covered"

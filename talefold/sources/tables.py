@@ -31,7 +31,23 @@ def flat_files(paths: DataFrame) -> DataFrame:
     return rows.where("prefix <> ''").groupBy("prefix").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
+def _by_bucket(rows: DataFrame, buckets: int):
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("recording_id"), F.lit(buckets)))
+    return rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+
+
 def write_notes(notes: DataFrame, path: str, buckets: int = 64) -> None:
     """Markdown per recording as Parquet, partitioned by a hash of the id; a partition is replaced as a whole."""
-    rows = notes.withColumn("bucket", F.pmod(F.xxhash64("recording_id"), F.lit(buckets)))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _by_bucket(notes, buckets).parquet(path)
+
+
+def write_json(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """One JSON object per recording and line, in the same partitions."""
+    _by_bucket(rows, buckets).json(path)
+
+
+def write_text(transcripts: DataFrame, path: str, buckets: int = 64) -> None:
+    """Texts of transcripts(recording_id, text) behind a line with the recording's id, in the same partitions."""
+    told = F.concat(F.lit("# "), F.col("recording_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = transcripts.select(told.alias("value"), F.pmod(F.xxhash64("recording_id"), F.lit(buckets)).alias("bucket"))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").text(path)

@@ -152,6 +152,93 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/live").count() == spark.read.parquet(f"{tmp_path}/in").selectExpr("job_id % 20 AS k").distinct().count()
 
 
+def test_upload_stream_takes_each_key_once(spark, tmp_path):
+    from talefold.streaming import jobs as streaming
+
+    rows = [(i % 7, f"2024-01-01 00:{i:02d}:00") for i in range(30)]
+    spark.createDataFrame(rows, "client_key long, t string").selectExpr("client_key", "CAST(t AS timestamp) AS uploaded_at").coalesce(1).write.parquet(f"{tmp_path}/up")
+    stream = spark.readStream.schema("client_key long, uploaded_at timestamp").parquet(f"{tmp_path}/up")
+    streaming.run_once(stream, f"{tmp_path}/once", f"{tmp_path}/c", streaming.ingest_once)
+    assert sorted(r.client_key for r in spark.read.parquet(f"{tmp_path}/once").collect()) == list(range(7))
+
+
+def test_lease_sessions_equal_their_batch_twin(spark, tmp_path):
+    from talefold.streaming import jobs as streaming
+
+    rng = random.Random(3)
+    rows, n = [], 0
+    for job in range(5):
+        at = 0
+        for _ in range(20):
+            at += rng.choice([20, 20, 20, 89, 91, 300])
+            rows.append((job, "t", n := n + 1, at))
+    rows.append((99, "t", n + 1, 10_000_000))  # moves the watermark on
+    table = spark.createDataFrame(rows, "job_id long, claim_token string, event_id long, s long").selectExpr("*", "timestamp_seconds(1700000000 + s) AS ts")
+    table.coalesce(1).write.parquet(f"{tmp_path}/beats")
+    stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/beats")
+    streaming.run_once(stream, f"{tmp_path}/sessions", f"{tmp_path}/c", streaming.lease_sessions)
+    got = sorted((r.job_id, r.first_at, r.last_at, r.n) for r in spark.read.parquet(f"{tmp_path}/sessions").collect())
+    want = sorted((r.job_id, r.first_at, r.last_at, r.n) for r in jobs.lease_episodes(table.where("job_id < 99"), 90).collect())
+    assert got == want and len(want) > 10
+
+
+def test_catalog_and_sinks(spark, tmp_path):
+    import json
+
+    for name in ("rec1", "rec2", ".hidden", "trash"):
+        (tmp_path / "root" / name).mkdir(parents=True)
+        (tmp_path / "root" / name / "metadata.json").write_text(json.dumps({"title": name, "recorded_at": "2024-01-01 10:00", "duration_sec": 5}))
+    assert {(r.recording_id, r.title) for r in tables.catalog(spark, f"{tmp_path}/root/*/metadata.json").collect()} == {("rec1", "rec1"), ("rec2", "rec2")}
+    (tmp_path / "root" / "rec1" / "stt.json").write_text('{"transcription": [{"text": "hi", "offsets": {"from": 0, "to": 2000}}]}')
+    (tmp_path / "root" / "rec2" / "stt.json").write_text("{broken")
+    read = tables.recogniser_json(spark, f"{tmp_path}/root/*/stt.json")
+    assert {r.recording_id: r.transcription and r.transcription[0].text for r in read.collect()} == {"rec1": "hi", "rec2": None}
+    rows = spark.range(20).selectExpr("id AS recording_id", "concat('t', id) AS text")
+    tables.write_json(rows, f"{tmp_path}/json", 3)
+    tables.write_text(rows, f"{tmp_path}/text", 3)
+    tables.write_json(rows.where("recording_id < 5").selectExpr("recording_id", "'new' AS text"), f"{tmp_path}/json", 3)
+    assert spark.read.json(f"{tmp_path}/json").where("text = 'new'").count() == 5
+    assert spark.read.text(f"{tmp_path}/text").where("value LIKE '# %'").count() == 20
+
+
+def test_similar_titles_of_any_length(spark):
+    """The bounds on common subsequences agree with the exact ratio for long and short texts."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcde회의") for _ in range(rng.choice([3, 20, 63, 64, 65, 90])))
+        b = "".join(rng.choice("abcde회의") if rng.random() < rng.choice([0.1, 0.3, 0.6]) else c for c in a)[rng.randint(0, 5) :]
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select(diffing.alike("a", "b", titles.RATIO)).collect()
+    assert [r[0] for r in got] == [difflib.SequenceMatcher(None, a, b).ratio() >= titles.RATIO for a, b in pairs]
+
+
+def test_title_similarity(spark):
+    rows = {r.id: r.ratio_e4 for r in registry.queries()["title_similarity"](spark, DATA).collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").selectExpr("page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) AS t").collect()
+    known = {r.page_id: r.t for r in pages}
+    want = {i: difflib.SequenceMatcher(None, known[i - 1], t).ratio() * 10_000 for i, t in known.items() if i - 1 in known}
+    assert set(rows) == set(want) and all(abs(rows[i] - x) <= 1 for i, x in want.items())
+
+
+def test_recovered_json(spark):
+    from talefold.operators import outputs
+
+    texts = ['{"a": 1}', "noise: x\n[1]", 'so\n```json\n{"b": "}"}\n``` or {', "{ {", "", None, 'x {"c": {}} y } z', '```\n{bad}\n``` {"d": 1}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", outputs.recovered_json(F.col("t"), ["noise:"]).alias("j")).collect()
+    assert {r.i: r.j for r in rows} == {0: '{"a": 1}', 1: "[1]", 2: '{"b": "}"}', 3: None, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_recorded_at(spark):
+    from talefold.functions import recordings
+
+    texts = ["2024-03-05 10:20:30", "2024-03-05 10:20", "2024-03-05T10:20:30+09:00", "2024-03-05T10:20:30Z", "2024-03-05", "", None, "soon"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", F.unix_seconds(recordings.recorded_at(F.col("t"), F.lit("1970-01-01 00:00:00").cast("timestamp"))).alias("s")).collect()}
+    noon = 1709601630  # 2024-03-05 01:20:30 UTC
+    assert got == {0: noon, 1: noon - 30, 2: noon, 3: noon + 32_400, 4: noon - 37_230, 5: 0, 6: 0, 7: 0}
+
+
 def test_notes_are_written_by_bucket(spark, tmp_path):
     notes = spark.range(50).selectExpr("id AS recording_id", "concat('n', id) AS markdown")
     tables.write_notes(notes, f"{tmp_path}/notes", 4)
