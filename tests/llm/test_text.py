@@ -93,6 +93,16 @@ def test_long_conversation(spark):
     assert chat.digests(table).first().n_turns == 500
 
 
+def test_conversations_of_any_length(spark):
+    """A long conversation, repeated rows, and long texts."""
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} <|im_end|>") for t in range(3000)] + [(2, 0, "user", "twice")] * 2 + [(3, 0, "assistant", "long \\<| " * 50_000)]
+    got = {r.conv_id: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    learnt = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (3000, len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    assert (got[2].n_turns, got[2].loss_chars) == (2, 0)
+    assert (got[3].n_turns, got[3].loss_sha256) == (1, hashlib.sha256(rows[-1][3].encode()).hexdigest())
+
+
 def test_pages():
     assert page_text(None) == page_text("") == ""
     assert page_text("<p>One<p>Two <b>bold</b>&amp;more<div hidden>no</div><ul><li>a<ol start=3><li>b</ol><li>c</ul>") == "One\n\nTwo bold&more\n\n- a\n  3. b\n- c"
@@ -148,6 +158,8 @@ def test_quality(spark):
     got = check(quality(docs, labels), 603)
     assert np.mean([got[i] == (i < 300) for i in range(600)]) > 0.97
     check(quality(docs, labels.limit(0)), 603)
+    long = documents(spark, [(1, prose(1000, 1) * 150), (2, "x" * 1_000_000), (3, "\n" * 100_000)])
+    check(quality(long, labels), 3)
     assert quality(docs.limit(0), labels).collect() == []
 
 
@@ -156,6 +168,8 @@ def test_toxicity(spark):
     got = check(toxicity(docs, labels), 603)
     assert np.mean([got[i] == (i >= 300) for i in range(600)]) > 0.97
     assert set(check(toxicity(docs, labels.limit(0)), 603).values()) == {0}
+    long = documents(spark, [(1, prose(1000, 1) * 150), (2, "x" * 1_000_000), (3, "0 " * 100_000)])
+    check(toxicity(long, labels), 3)
     assert toxicity(docs.limit(0), labels).collect() == []
 
 
@@ -286,6 +300,24 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert packed == Counter(i for i, _ in left)
 
 
+def test_pipeline_stands_hard_rows(spark, tmp_path):
+    """Null, empty and very long texts, repeated rows and clashing columns go through each stage; so do empty tables."""
+    import corpus_pipeline as pipeline
+
+    rows = [r for r in hard_rows() if r[0] is not None]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(bool(t and t.strip())), 0) for i, t in dict(rows).items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(20, 7, 2000)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            assert out.count() > 0 if table is docs else out.isEmpty(), name
+    exact = {r.doc_id for r in pipeline.exact_dedup_stage(spark, docs, str(tmp_path)).collect()}
+    assert exact == {1, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 17} or exact == {1, 3, 4, 5, 6, 7, 10, 12, 13, 14, 15, 17}
+
+
 def test_html_stands_deep_and_broken_pages():
     """Nesting, tags without end and end tags without start take time in proportion to the length."""
     began = time.perf_counter()
