@@ -49,10 +49,10 @@ def _cut_words(rows: DataFrame) -> DataFrame:
     return cut.select("id", "k", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def _placed(rows: DataFrame, n: int) -> DataFrame:
+def _placed(rows: DataFrame, n: int, *more: str) -> DataFrame:
     """A row with `s` for each place, from 1, where a run of n words starts."""
     places = F.expr(f"IF(size(hashes) < {n}, CAST(array() AS array<int>), sequence(1, size(hashes) - {n - 1}))")
-    each = rows.select("id", "k", "words", "hashes", F.explode_outer(places).alias("s")).where("s IS NOT NULL")
+    each = rows.select("id", "k", "words", "hashes", *more, F.explode_outer(places).alias("s")).where("s IS NOT NULL")
     # Known not to be null, it makes Spark test nothing that is built on it.
     return each.withColumn("s", F.coalesce("s", F.lit(0)))
 
@@ -69,12 +69,16 @@ def fingerprints(rows: DataFrame, span: int, k: int) -> DataFrame:
     window that keeps the place that the one before it keeps adds no row.
     """
     w = span - k + 1
-    low = (1 << max(1, w.bit_length())) - 1
-    grams = _placed(rows, span).select("id", "k", "words", "s", *(F.expr(f"({_gram(j, k)} & ~{low}L) | {j + 1}L").alias(f"g{j}") for j in range(w)), F.expr(f"IF(s > 1, {_gram(-1, k).replace('[s + -2', '[greatest(s, 2) - 2')} & ~{low}L, NULL)").alias("before"))
-    least = F.least(*(f"g{j}" for j in range(w))).alias("least")
-    kept = grams.select("id", "k", "words", "s", least, F.least("before", *(f"g{j}" for j in range(w - 1))).alias("last"), F.col("before").isNull().alias("first"))
-    kept = kept.where("first OR least <> last")
-    return kept.select("id", "k", "words", F.expr(f"s - 1 + int(least & {low}L)").alias("at"), F.expr(f"least & ~{low}L").alias("key"))
+    low = (1 << max(1, (w - 1).bit_length())) - 1
+    gram = f"xxhash64({', '.join(f'hashes[i + {j}]' for j in range(k))})"
+    grams = F.expr(f"IF(size(hashes) < {span}, CAST(array() AS array<bigint>), transform(sequence(0, size(hashes) - {k}), i -> {gram} & ~{low}L))")
+    # Each hash is made once per place, so what runs per window stays a method small enough to be compiled.
+    each = _placed(rows.withColumn("grams", grams), span, "grams")
+    least = F.expr(f"least({', '.join(f'grams[s + {j - 1}] | {j}L' for j in range(w))})")
+    kept = each.withColumn("least", least)
+    # A window keeps a place anew if it is its last one, or was behind a lesser one so far.
+    kept = kept.where(f"s = 1 OR least & {low}L = {w - 1}L OR grams[greatest(s, 2) - 2] <= least & ~{low}L")
+    return kept.select("id", "k", "words", F.expr(f"s + int(least & {low}L)").alias("at"), F.expr(f"least & ~{low}L").alias("key"))
 
 
 def _around(side: str, span: int, k: int) -> list[Column]:
@@ -116,9 +120,9 @@ def _whole(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     of = lambda n: F.expr(_gram(0, n).replace("s + ", "1 + "))
     key = F.coalesce(*(F.when(F.size("words") == n, of(n)) for n in lengths))
     known = items.where(F.size("words").isin(lengths)).select(F.col("id").alias("item_id"), F.col("words").alias("own"), F.size("words").alias("n"), key.alias("key")).distinct()
-    each = _placed(docs, 1)
-    keys = F.explode(F.array_compact(F.array(*(F.when(F.expr(f"s <= size(hashes) - {n - 1}"), F.struct(F.lit(n).alias("n"), F.expr(_gram(0, n)).alias("key"))) for n in lengths))))
-    each = each.select("id", "k", "words", F.col("s").alias("at"), keys.alias("run")).select("id", "k", "words", "at", "run.*")
+    run_of = "array<struct<n:int,at:int,key:bigint>>"
+    places = [f"IF(size(hashes) < {n}, CAST(array() AS {run_of}), transform(sequence(1, size(hashes) - {n - 1}), i -> named_struct('n', {n}, 'at', i, 'key', xxhash64({', '.join(f'hashes[i + {j - 1}]' for j in range(n))}))))" for n in lengths]
+    each = docs.select("id", "k", "words", F.inline(F.expr(f"flatten(array({', '.join(places)}))")))
     run = F.expr("slice(words, at, n)").alias("run")
     if known.count() <= BROADCAST_ROWS:
         hits = each.join(F.broadcast(known), ["n", "key"]).select("id", "k", "at", "n", "item_id", "own", run)
