@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
@@ -97,18 +97,26 @@ def pack_groups(sized: DataFrame, limit: int = 24_000) -> DataFrame:
     return fold(sized, size_rule(limit, 0), ["size"], "chunk_no", "recording_id long, chunk_no int, group_no int")
 
 
-def manifest(segments: DataFrame, chunked: DataFrame, hard_max: int = 8000) -> DataFrame:
-    """recording_id, chunk_no, p_start, p_end, n_segments, chars, too_long."""
+def manifest(segments: DataFrame, chunked: DataFrame, hard_max: int = 8000, ids: bool = False) -> DataFrame:
+    """recording_id, chunk_no, p_start, p_end, n_segments, chars, too_long; with ids also segment_ids in order."""
     rows = chunked if "chars" in chunked.columns else chunked.join(segments.select("recording_id", "seg_idx", F.length("text").alias("chars")), ["recording_id", "seg_idx"])
     chars = F.sum("chars")
-    return rows.groupBy("recording_id", "chunk_no").agg(F.min("seg_idx").alias("p_start"), F.max("seg_idx").alias("p_end"), F.count("*").alias("n_segments"), chars.alias("chars"), (chars > hard_max).alias("too_long"))
+    return rows.groupBy("recording_id", "chunk_no").agg(F.min("seg_idx").alias("p_start"), F.max("seg_idx").alias("p_end"), F.count("*").alias("n_segments"), chars.alias("chars"), (chars > hard_max).alias("too_long"), *([F.array_sort(F.collect_list("seg_idx")).alias("segment_ids")] if ids else []))
 
 
-def overlap(plan: DataFrame, segments: DataFrame, reach: int = 2) -> DataFrame:
+def overlap(plan: DataFrame, segments: DataFrame, reach: int = 2, dense: bool = True) -> DataFrame:
     """recording_id, chunk_no, seg_idx, is_primary, text: a chunk's segments and `reach` on both sides.
 
-    The range is spread out and joined by equality, so no chunk meets all segments.
+    The range is spread out and joined by equality, so no chunk meets all segments. Where
+    indices have gaps, dense=False counts `reach` in segments, not in indices.
     """
+    if not dense:
+        place = F.row_number().over(Window.partitionBy("recording_id").orderBy("seg_idx")) - 1
+        placed = segments.select("recording_id", "seg_idx", place.alias("at"), "text")
+        ends = placed.select("recording_id", F.col("seg_idx").alias("p_start"), F.col("at").alias("a")), placed.select("recording_id", F.col("seg_idx").alias("p_end"), F.col("at").alias("b"))
+        by_place = plan.join(ends[0], ["recording_id", "p_start"]).join(ends[1], ["recording_id", "p_end"]).select("recording_id", "chunk_no", F.col("a").alias("p_start"), F.col("b").alias("p_end"))
+        found = overlap(by_place, placed.select("recording_id", F.col("at").alias("seg_idx"), "text"), reach).withColumnRenamed("seg_idx", "at").drop("text")
+        return found.join(placed, ["recording_id", "at"]).select("recording_id", "chunk_no", "seg_idx", "is_primary", "text")
     spread = plan.select("recording_id", "chunk_no", "p_start", "p_end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p_start") - reach), F.col("p_end") + reach)).alias("seg_idx"))
     both = spread.join(segments.select("recording_id", "seg_idx", "text"), ["recording_id", "seg_idx"])
     return both.select("recording_id", "chunk_no", "seg_idx", F.col("seg_idx").between(F.col("p_start"), F.col("p_end")).alias("is_primary"), "text")

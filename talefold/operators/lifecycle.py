@@ -76,11 +76,15 @@ def mentions(rows: DataFrame, ids: DataFrame, pattern: str = UUID) -> DataFrame:
     return named.where("own <> recording_id").join(ids.select("recording_id"), "recording_id").groupBy("recording_id").agg(F.count("*").alias("n_rows"))
 
 
-def safe_to_delete(recordings: DataFrame, mentioned: DataFrame, files: DataFrame, harmless: list[str]) -> DataFrame:
-    """recording_id that nothing names and whose files are of harmless roles alone."""
+def safe_to_delete(recordings: DataFrame, mentioned: DataFrame, files: DataFrame, harmless: list[str], corrupt: DataFrame | None = None) -> DataFrame:
+    """recording_id that nothing names and whose audio is corrupt or whose files are of harmless roles alone."""
     roles = files.groupBy("recording_id").agg(F.collect_set("role").alias("roles"))
     rows = recordings.select("recording_id").join(roles, "recording_id", "left").join(mentioned, "recording_id", "left_anti")
-    return rows.where(F.size(F.array_except(F.coalesce("roles", F.array().cast("array<string>")), F.array(*map(F.lit, harmless)))) == 0).select("recording_id")
+    only = F.size(F.array_except(F.coalesce("roles", F.array().cast("array<string>")), F.array(*map(F.lit, harmless)))) == 0
+    if corrupt is None:
+        return rows.where(only).select("recording_id")
+    rows = rows.join(corrupt.select("recording_id").distinct().withColumn("corrupt", F.lit(True)), "recording_id", "left")
+    return rows.where(only | F.coalesce("corrupt", F.lit(False))).select("recording_id")
 
 
 def sweep_edit_leases(edits: DataFrame, now) -> DataFrame:

