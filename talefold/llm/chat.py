@@ -140,7 +140,7 @@ def digests(turns: DataFrame, **columns: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of linear conversations."""
     messages = cut(linear(turns, **columns))
     state, jumps = climb(messages)
-    back = read_back(formatted(messages, walk(best_leaves(leaf_scores(messages, state)), state, jumps)))
+    back = read_back(cut(formatted(messages, walk(best_leaves(leaf_scores(messages, state)), state, jumps))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join("masked", "")
     return back.select(
