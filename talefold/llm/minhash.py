@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,7 @@ from .shingles import mix, shingle_set, shingles
 PERCENT, WORDS = 75, 5
 BANDS, ROWS, BITS = 32, 4, 2
 #: Shingles that a task of confirm keeps for further pairs of a document.
-HELD = 200_000
+HELD = 100_000
 #: Rows of a bucket that are compared in one piece.
 BLOCK = 2_000
 #: Minima of one bit in the longer signatures; their estimates below TIGHT are over four standard errors below 0.75.
@@ -104,12 +103,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """id, sketch: one low bit of each of LONG minima, for docs(doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [signature(shingles(t, words), LONG, 1, 1)[1] for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "sketch": found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [signature(shingles(t, words), LONG, 1, 1)[1] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "sketch"])
 
-    return docs.mapInPandas(run, "id long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, sketch array<long>")
 
 
 def estimate(a: str, b: str, n: int = BANDS * ROWS, bits: int = BITS) -> Column:
@@ -126,7 +125,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: in
     texts = cut(docs.join(small(cut(ids)), "doc_id", "left_semi"))
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, set] = {}
         size = 0
 
@@ -140,15 +139,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: in
                 size += len(held[doc])
             return held[doc]
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = []
-            for a, b, x, y in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text_a"], batch["text_b"], strict=True):
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = of(a, x), of(b, y)
                 both = len(x & y)
                 keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, sample, training
+from .scratch import slices
 from .shingles import mix, word_hashes
 
 POSITIVES, UNLABELLED = 8_000, 16_000
@@ -135,26 +137,32 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return Model(x[one], x[~one], prior)
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED):
-    """A function of a text column that gives its score, by a model fitted on docs and labels."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = fit(texts, labels, positives, unlabelled)
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **sizes: int) -> Model:
+    return fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), labels, **sizes)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model(np.array([statistics(t) for t in text], np.float32).reshape(-1, N_STATISTICS)))
 
-    return score
+def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
+    return model(np.array([statistics(t) for t in texts], np.float32).reshape(-1, N_STATISTICS))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, **sizes: int) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    score = scorer(docs, labels, id_col, text_col, **sizes)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
+    model = _model(docs, labels, id_col, text_col, **sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, **sizes: int) -> DataFrame:
-    """The rows of docs, with all their columns, that are predicted to be good."""
-    score = scorer(docs, labels, id_col, text_col, **sizes)
-    return docs.where(score(F.col(text_col).cast("string")) >= cutoff)
+    """The rows of docs, with all their columns, that are predicted to be good; the text column is a string."""
+    model, at = _model(docs, labels, id_col, text_col, **sizes), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in slices(whole)):
+            yield part.filter(pa.array(_scores(model, part.column(at).to_pylist()) >= cutoff, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
