@@ -8,6 +8,11 @@ the next one.
 Each stage decides on texts, not on ids: further texts of a repeated id and texts of a
 null id are judged, kept and rejected by themselves, and stand behind all others where
 the least id wins. Of rows of one id and one text, exact deduplication keeps one.
+
+Other defined cases: a null text counts as empty; empty texts are judged by the quality
+model like all others, and one of them at most passes exact deduplication; texts of any
+length are read as a whole; further columns go through all stages but the last, whatever
+their names (but for OWN and HASH below); empty tables give empty results.
 """
 
 from __future__ import annotations
