@@ -11,7 +11,7 @@ it with an end mark and a line feed. Inside roles and texts a backslash is doubl
 and the `<|` that begins every mark becomes `<\\|`; undoing these in reverse gives
 the texts back. Places are counted in code points. Only DataFrame functions are used.
 
-Defined cases: a null text or role is empty; a message whose parent is missing is
+Defined cases: a null text or role is empty; conversations and texts may be of any length; a message whose parent is missing is
 a root; turns that tie in order are taken by role and text; repeated rows are
 turns of their own; messages on a cycle have no root and are left out; an empty
 table gives an empty result; other columns are ignored.

@@ -11,7 +11,7 @@ The sample bounds POSITIVES and UNLABELLED are parameters; samples are chosen by
 a hash of the id from the whole table. Scoring reads every whole text.
 
 Defined cases: null and empty texts have all-zero counts and get the model's
-score for these; without positives or unlabelled rows every score is the prior,
+score for these; texts of any length are read as a whole; without positives or unlabelled rows every score is the prior,
 or 0.5 without labels; rows repeat as they come; other columns are ignored.
 """
 

@@ -13,7 +13,8 @@ The bound TRAINING_ROWS on labelled rows is a parameter; the sample is chosen by
 a hash of the id. All terms and exceptions that these rows give are kept. Scoring
 reads every whole text.
 
-Defined cases: null and empty texts have no hits and get the score of these;
+Defined cases: null and empty texts have no hits and get the score of these; texts of
+any length are read as a whole;
 without labels of both kinds the lexicon is empty and every score is 0; rows
 repeat as they come; other columns are ignored.
 """
