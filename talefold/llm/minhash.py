@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, slices, small
+from .scratch import cut, parts, small
 from .shingles import mix, shingle_set, shingles
 
 PERCENT, WORDS = 75, 5
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """SIGNATURE columns, one row per document; no set key, bands and planes for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in parts(batches):
             ids, n, sets, keys, planes = batch.column(0), [], [], [], []
             for doc, text in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingles(text, words)
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """id, sketch: one low bit of each of LONG minima, for docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in parts(batches):
             found = [signature(shingles(t, words), LONG, 1, 1)[1] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "sketch"])
 
@@ -139,7 +139,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, words: in
                 size += len(held[doc])
             return held[doc]
 
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in parts(batches):
             keep = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = of(a, x), of(b, y)
@@ -172,8 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = components(links)
     labelled = cut(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
-    mixed = cut(labelled.join(cut(parts), "key"))
+    places = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
+    mixed = cut(labelled.join(cut(places), "key"))
     unsure = texts.join(small(cut(mixed.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
     mixed = cut(mixed.join(sketches(unsure, words), "id").join(classes.select("id", "bands"), "id"))
     p, q = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "bands", "sketch")] for side in "pq")

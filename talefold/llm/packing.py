@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, slices
+from .scratch import cut, parts
 from .tokens import Encoder
 
 ROOM, END_ID = 1024, 2
@@ -49,15 +49,14 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, room: int = ROOM,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, ranks)
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    at = cut_points(len(ids), room)
-                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+        for part in parts(batches):
+            rows = []
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                at = cut_points(len(ids), room)
+                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, PIECES)
@@ -209,16 +208,16 @@ def pack(pieces: DataFrame, room: int = ROOM, group_rows: int = GROUP_ROWS) -> D
     out, first, left = None, 0, cut(pieces)
     n = left.count()
     while True:
-        parts = max(1, -(-n // group_rows))
-        dealt = left.withColumn("part", F.monotonically_increasing_id() % parts + first)
+        n_parts = max(1, -(-n // group_rows))
+        dealt = left.withColumn("part", F.monotonically_increasing_id() % n_parts + first)
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema)
         done = cut(dealt.groupBy("part").applyInPandas(pack_group(room), f"{fields}, sequence_id long, offset long, filled long"))
-        again = done.where(F.col("filled") * 2 < room) if parts > 1 else None
-        kept = (done.where(F.col("filled") * 2 >= room) if parts > 1 else done).drop("filled")
+        again = done.where(F.col("filled") * 2 < room) if n_parts > 1 else None
+        kept = (done.where(F.col("filled") * 2 >= room) if n_parts > 1 else done).drop("filled")
         out = kept if out is None else out.unionByName(kept)
         if again is None:
             return out
-        left, first = again.select(*left.columns), first + parts
+        left, first = again.select(*left.columns), first + n_parts
         n = left.count()
         if not n:
             return out

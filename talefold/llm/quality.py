@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, sample, training
-from .scratch import slices
+from .scratch import parts
 from .shingles import mix, word_hashes
 
 POSITIVES, UNLABELLED = 8_000, 16_000
@@ -150,7 +150,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = _model(docs, labels, id_col, text_col, **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for whole in batches for part in slices(whole)):
+        for part in parts(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -162,7 +162,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model, at = _model(docs, labels, id_col, text_col, **sizes), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for whole in batches for part in slices(whole)):
+        for part in parts(batches):
             yield part.filter(pa.array(_scores(model, part.column(at).to_pylist()) >= cutoff, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
