@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, notes, operations, records, transcripts
+from . import catalog, nested, notes, operations, records, transcripts
 
-MODULES = (transcripts, notes, operations, catalog, records)
+MODULES = (transcripts, notes, operations, catalog, records, nested)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import keywords as K
+from ..operators import long_chunks as L
 from ..operators import segments as S
 from .shapes import LINES, LONG, SHORT, SQUEEZE, long_segments, short_segments, table
 
@@ -66,6 +67,27 @@ def chunk_semantic(spark, d):
     return C.semantic_chunks(long_segments(spark, d), 600, 800)
 
 
+def _joined(spark, d):
+    """Four recordings that hold all lines of all documents."""
+    s = L.joined(long_segments(spark, d), F.col("recording_id") % 4)
+    return s.select("*", (F.col("seg_idx").cast("long") * 2400).alias("start_ms"), (F.col("seg_idx").cast("long") * 2400 + 1800).alias("end_ms"))
+
+
+def chunk_long(spark, d):
+    return L.semantic_chunks(_joined(spark, d), 600)
+
+
+def chunk_long_correction(spark, d):
+    return L.correction_chunks(_joined(spark, d))
+
+
+def pack_long(spark, d):
+    """Chunks of the long recordings packed into groups."""
+    s = _joined(spark, d)
+    sized = C.manifest(s, L.semantic_chunks(s, 600), 800).select("recording_id", "chunk_no", F.col("chars").alias("size"))
+    return L.pack_groups(sized, 2400)
+
+
 def chunk_manifest(spark, d):
     s = long_segments(spark, d)
     return C.manifest(s, C.semantic_chunks(s, 600, 800), 800, ids=True)
@@ -146,7 +168,7 @@ def mapped_chunks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks, gappy_overlap)
+    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_long, chunk_long_correction, pack_long, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks, gappy_overlap)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
@@ -239,6 +261,28 @@ SQL = {
       UNION ALL SELECT recording_id, chunk_no, 'key_points', 0, substring(ta, 1, 60), [a] FROM own
       UNION ALL SELECT recording_id, chunk_no, 'key_points', 1, substring(tb, 1, 60), [b] FROM own""",
 }
+_JOINED = f"""{LONG}, j AS (
+  SELECT recording_id % 4 AS recording_id, CAST(row_number() OVER (PARTITION BY recording_id % 4 ORDER BY recording_id, seg_idx) - 1 AS INTEGER) AS seg_idx, length(text) AS size FROM long_segments
+), q AS (SELECT *, sum(size + 1) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS upto FROM j)"""
+#: A chunk's first rows by pointers: each row's is the first that doesn't fit a chunk that begins with it.
+_WALK = """walk AS (
+  SELECT recording_id, 0 AS at FROM q WHERE seg_idx = 0 UNION ALL SELECT w.recording_id, p.next FROM walk w JOIN p ON p.recording_id = w.recording_id AND p.seg_idx = w.at
+), chunked AS (
+  SELECT q.recording_id, q.seg_idx, size, CAST(count(w.at) OVER (PARTITION BY q.recording_id ORDER BY q.seg_idx) AS INTEGER) AS chunk_no
+  FROM q LEFT JOIN walk w ON w.recording_id = q.recording_id AND w.at = q.seg_idx)"""
+_LONG_SIZES = f"""{_JOINED}, p AS MATERIALIZED (
+  SELECT a.recording_id, a.seg_idx, greatest(a.seg_idx + 1, b.seg_idx) AS next FROM q a ASOF JOIN q b ON a.recording_id = b.recording_id AND b.upto > a.upto - a.size + 600
+), {_WALK}"""
+SQL["chunk_long"] = f"WITH RECURSIVE {_LONG_SIZES} SELECT recording_id, seg_idx, chunk_no FROM chunked"
+SQL["chunk_long_correction"] = f"""WITH RECURSIVE {_JOINED}, p AS MATERIALIZED (
+  SELECT a.recording_id, a.seg_idx, min(b.seg_idx) AS next FROM q a JOIN q b ON a.recording_id = b.recording_id AND b.seg_idx BETWEEN a.seg_idx + 1 AND a.seg_idx + 35
+  WHERE b.upto - b.size - (a.upto - a.size) >= 1200 OR (b.seg_idx - a.seg_idx) * 2400 + 1800 >= 60000 OR b.seg_idx - a.seg_idx >= 35 GROUP BY 1, 2
+), {_WALK} SELECT recording_id, seg_idx, chunk_no FROM chunked"""
+SQL["pack_long"] = f"""WITH RECURSIVE {_LONG_SIZES}, m AS (SELECT recording_id, chunk_no, sum(size) AS size FROM chunked GROUP BY 1, 2),
+      g AS (SELECT recording_id, chunk_no, 1 AS group_no, size AS filled FROM m WHERE chunk_no = 1
+        UNION ALL SELECT m.recording_id, m.chunk_no, CASE WHEN filled + size > 2400 THEN group_no + 1 ELSE group_no END, CASE WHEN filled + size > 2400 THEN size ELSE filled + size END
+        FROM g JOIN m ON m.recording_id = g.recording_id AND m.chunk_no = g.chunk_no + 1)
+      SELECT recording_id, chunk_no, group_no FROM g"""
 _STATES = SQL["chunk_run_plan"].split("\n      SELECT h.recording_id")[0]
 SQL["run_statistics"] = f"""WITH p AS ({SQL["chunk_run_plan"]}) SELECT recording_id, count(*) FILTER (action = 'reuse') AS n_reuse, count(*) FILTER (action = 'wait') AS n_wait, count(*) FILTER (action = 'failed') AS n_failed, count(*) FILTER (action = 'execute') AS n_execute, count(*) AS n_chunks FROM p GROUP BY 1"""
 SQL["reuse_verdicts"] = f"""{_STATES}, x AS (SELECT h.recording_id, h.chunk_no, h.recording_id + h.chunk_no AS n, h.input_hash, status, known, output_hash FROM h LEFT JOIN s USING (recording_id, chunk_no))
