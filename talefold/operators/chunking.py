@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
+from .ranges import in_ranges
 
 CHUNKED = "recording_id long, seg_idx int, chunk_no int"
 
@@ -184,8 +185,7 @@ def run_statistics(plan: DataFrame) -> DataFrame:
 def index_ranges(ranges: DataFrame, segments: DataFrame) -> DataFrame:
     """recording_id, chunk_no, seg_idx, text for ranges(recording_id, chunk_no, low, high) of index values; missing ones are skipped, of equal ones the last by pos wins."""
     last = segments.groupBy("recording_id", "seg_idx").agg(F.max_by("text", "pos").alias("text"))
-    spread = ranges.select("recording_id", "chunk_no", F.explode(F.sequence("low", "high")).alias("seg_idx"))
-    return spread.join(last, ["recording_id", "seg_idx"]).select("recording_id", "chunk_no", "seg_idx", "text")
+    return in_ranges(last, ranges.select("recording_id", "chunk_no", "low", "high"), "recording_id", "seg_idx", "low", "high").select("recording_id", "chunk_no", "seg_idx", "text")
 
 
 def extract_items(covered: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from ..operators import diffing as D
 from ..operators import reduce as R
 from ..operators import validate as V
 from ..operators.kept import kept
+from ..operators.reduce_tree import reduce_tree, union_reducer
 from . import transcripts as T
-from .shapes import LONG, SHORT, long_segments, short_segments, table
+from .shapes import LONG, SHORT, STRIP, long_segments, short_segments, table
 
 RULES = {"identity": (["sch", "que"], 4), "observed": (["tion"], 5), "remaining": (["en"], 3)}
 TOPICS = [(1, "first", ["heit"]), (2, "second", ["tion", "que"]), (3, "third", ["e"])]
@@ -50,6 +51,11 @@ def two_level_reduce(spark, d):
     return R.two_levels(items, C.pack_groups(R.sizes(items), 500))
 
 
+def tree_reduce(spark, d):
+    """All items merged by a reducer without caps, over as many levels as it takes."""
+    return reduce_tree(_items(spark, d), union_reducer(None), 1000, 1500).drop("level")
+
+
 def note_sections(spark, d):
     return R.sections(union_items(spark, d), RULES)
 
@@ -151,13 +157,40 @@ def version_diff(spark, d):
     return D.version_diff(fast, final, C.correction_chunks(fast))
 
 
+def _reviewed(spark, d):
+    """The fast and the final version: junk taken out, words changed, an end added."""
+    fast, final = _versions(spark, d)
+    text = F.replace(F.replace("text", F.lit("er "), F.lit("or ")), F.lit(" in"), F.lit(" on in"))
+    return fast, final.withColumn("text", F.when((F.col("recording_id") + F.col("seg_idx")) % 7 == 3, F.concat(text, F.lit(" end"))).when(F.col("seg_idx") % 3 == 1, text).otherwise(F.concat(F.lit(" "), F.col("text"))))
+
+
+def version_report(spark, d):
+    fast, final = _reviewed(spark, d)
+    raw = fast.where("seg_idx % 5 <> 2").select("recording_id", "seg_idx", (F.col("start_ms") + 1).alias("start_ms"), "end_ms", F.when(F.col("seg_idx") % 4 != 0, F.concat(F.lit("raw "), "text")).otherwise("").alias("text"))
+    plan = C.manifest(fast, C.correction_chunks(fast)).where("(recording_id + chunk_no) % 9 <> 4")
+    report = D.version_report(fast.withColumn("raw_text", F.lit("as heard")), final, raw, plan)
+    return report.select("recording_id", "seg_idx", "chunk_no", "start_ms", "end_ms", F.sha2("raw_text", 256).alias("raw_sha"), "mapped", "changed")
+
+
+def version_totals(spark, d):
+    fast, final = _reviewed(spark, d)
+    return D.report_totals(D.version_report(fast, final, fast, C.manifest(fast, C.correction_chunks(fast)))).drop("distance")
+
+
+def edit_distances(spark, d):
+    """The least number of token edits of every changed segment."""
+    fast, final = _reviewed(spark, d)
+    rows = fast.select("recording_id", "seg_idx", "text").join(final.select("recording_id", "seg_idx", F.col("text").alias("final")), ["recording_id", "seg_idx"]).where("seg_idx % 3 = 1 AND text <> final")
+    return rows.select("recording_id", "seg_idx", D.least_edits("text", "final").alias("distance"))
+
+
 def token_edits(spark, d):
     return D.edits(*_versions(spark, d))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (union_items, capped_items, reduce_summary, reduce_mode, pack_groups, two_level_reduce, note_sections, topic_rule, render_note, note_flagship, correction_findings, correction_merge, conservation, item_findings, provenance_samples, completeness, version_diff, token_edits, output_findings, long_completeness)
+    for f in (union_items, capped_items, reduce_summary, reduce_mode, pack_groups, two_level_reduce, tree_reduce, note_sections, topic_rule, render_note, note_flagship, correction_findings, correction_merge, conservation, item_findings, provenance_samples, completeness, version_diff, version_report, version_totals, edit_distances, token_edits, output_findings, long_completeness)
 }
 
 _EXTRACT = "items AS (" + T.SQL["extract_items"].split("own AS", 1)[1].split("\n", 1)[1] + ")"
@@ -239,3 +272,22 @@ _PACKED = SQL["pack_groups"].removesuffix("SELECT recording_id, chunk_no, group_
 _INNER = "(SELECT recording_id, group_no AS chunk_no, field, rank AS pos, text, source_segment_ids FROM inner_ WHERE rank <= " + _CAP + ")"
 SQL["two_level_reduce"] = f"""{_PACKED}, grouped AS (SELECT items.*, group_no FROM items JOIN packed USING (recording_id, chunk_no)), {_union('inner_', 'grouped', 'recording_id, group_no')}, {_union('outer_', _INNER, 'recording_id')}
   SELECT * FROM outer_ WHERE rank <= {_CAP}"""
+SQL["tree_reduce"] = SQL["union_items"]
+_REVIEWED = f"""{_CORRECTION}, final AS (
+  SELECT recording_id, seg_idx, CASE WHEN (recording_id + seg_idx) % 7 = 3 THEN t || ' end' WHEN seg_idx % 3 = 1 THEN t ELSE ' ' || x END AS final
+  FROM (SELECT *, replace(replace(x, 'er ', 'or '), ' in', ' on in') AS t FROM (SELECT recording_id, seg_idx, regexp_replace(text, '[#%$&*]{{3}}', '', 'g') AS x FROM long_segments WHERE (recording_id + seg_idx) % 31 <> 9))
+), both_ AS (
+  SELECT l.*, final, final IS NOT NULL AS mapped, coalesce({STRIP.format("text")} <> {STRIP.format("final")}, false) AS changed FROM long_segments l LEFT JOIN final USING (recording_id, seg_idx))"""
+SQL["version_report"] = f"""{_REVIEWED} SELECT recording_id, seg_idx, CASE WHEN (recording_id + chunk_no) % 9 <> 4 THEN chunk_no END AS chunk_no,
+      CASE WHEN seg_idx % 5 <> 2 THEN start_ms + 1 ELSE start_ms END AS start_ms, end_ms, sha256(CASE WHEN seg_idx % 5 <> 2 AND seg_idx % 4 <> 0 THEN 'raw ' || text ELSE 'as heard' END) AS raw_sha, mapped, changed
+      FROM both_ JOIN chunked USING (recording_id, seg_idx)"""
+SQL["version_totals"] = f"{_REVIEWED} SELECT recording_id, count(*) AS n_segments, count(*) FILTER (changed) AS changed_segments, count(*) FILTER (NOT mapped) AS mapping_failures FROM both_ GROUP BY 1"
+_FIND = "regexp_extract_all({}, '[0-9A-Za-z가-힣]+|[^0-9A-Za-z가-힣\\s]+')"
+#: Least edits row by row of the table of all prefixes; an insertion adds one to the place before, so a row is a running least.
+SQL["edit_distances"] = f"""{_REVIEWED}, x AS (SELECT recording_id, seg_idx, {_FIND.format("text")} AS a, {_FIND.format("final")} AS b FROM both_ WHERE mapped AND seg_idx % 3 = 1 AND text <> final),
+      steps AS (
+        SELECT recording_id, seg_idx, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS BIGINT[]) AS line FROM x
+        UNION ALL SELECT recording_id, seg_idx, a, b, i, list_transform(range(1, len(b) + 2), lambda j: CAST(j + list_min(least_[1 : j]) AS BIGINT)) FROM (
+          SELECT recording_id, seg_idx, a, b, i + 1 AS i, list_prepend(i + 1 - 1, list_transform(range(1, len(b) + 1), lambda j: least(line[j + 1] + 1, line[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END) - (j + 1))) AS least_
+          FROM steps WHERE i < len(a)))
+      SELECT recording_id, seg_idx, line[len(b) + 1] AS distance FROM steps WHERE i = len(a)"""

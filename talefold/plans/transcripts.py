@@ -8,6 +8,7 @@ from ..operators import chunking as C
 from ..operators import keywords as K
 from ..operators import long_chunks as L
 from ..operators import segments as S
+from ..operators import sketches as Q
 from .shapes import LINES, LONG, SHORT, SQUEEZE, long_segments, short_segments, table
 
 CUES = ["tion", "heit", "que"]
@@ -53,6 +54,24 @@ def corpus_terms(spark, d):
     return K.collection_terms(short_segments(spark, d), "recording_id")
 
 
+def _daily_terms(spark, d):
+    """Terms of conversations, each dealt to one of seven days."""
+    rows = short_segments(spark, d).select("recording_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
+    return rows.select((F.col("recording_id") % 7).alias("day"), "recording_id", "term")
+
+
+def term_sketches(spark, d):
+    """What merged daily states tell, against the exact numbers: whether recordings and terms are within 3 %, and the ten most frequent terms within 1 %."""
+    terms = _daily_terms(spark, d)
+    whole = Q.merged(Q.day_states(terms))
+    exact = terms.agg(F.count("*").alias("n"), F.count_distinct("recording_id").alias("n_recordings"), F.count_distinct("term").alias("n_terms"))
+    near = lambda a, b, part: F.abs(a - b) <= F.ceil(b * part)
+    told = Q.counts(whole).select(F.col("n").alias("m"), F.col("n_recordings").alias("r"), F.col("n_terms").alias("t"))
+    top = Q.frequent(whole, 10).join(terms.groupBy("term").agg(F.count("*").alias("true_n")), "term").agg(F.count("*").alias("n_top"), F.bool_and(near(F.col("n"), F.col("true_n"), 0.01)).alias("top_close"))
+    one = exact.join(told, exact["n"] == told["m"]).select("n", "n_recordings", "n_terms", near(F.col("r"), F.col("n_recordings"), 0.03).alias("recordings_close"), near(F.col("t"), F.col("n_terms"), 0.03).alias("terms_close"), F.lit(1).alias("one"))
+    return one.join(top.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def extractive_memo(spark, d):
     docs = table(spark, d, "documents")
     terms = K.top_terms(docs.select("doc_id", F.lit(0).alias("seg_idx"), "text"), "doc_id", 3)
@@ -168,7 +187,7 @@ def mapped_chunks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, extractive_memo, chunk_correction, chunk_semantic, chunk_long, chunk_long_correction, pack_long, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks, gappy_overlap)
+    for f in (segments_short, segments_long, transcript_text, clean_lines, fallback_segments, sentences, action_sentences, keyword_topk, glossary_topk, corpus_terms, term_sketches, extractive_memo, chunk_correction, chunk_semantic, chunk_long, chunk_long_correction, pack_long, chunk_manifest, chunk_overlap, chunk_hash, chunk_changes, chunk_run_plan, extract_items, reuse_verdicts, run_statistics, mapped_chunks, gappy_overlap)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
@@ -290,3 +309,5 @@ SQL["reuse_verdicts"] = f"""{_STATES}, x AS (SELECT h.recording_id, h.chunk_no,
         WHEN n % 11 = 8 THEN 'output_of_other_input' WHEN output_hash IS DISTINCT FROM CASE WHEN n % 13 <> 9 THEN 'out' ELSE 'edited' END THEN 'output_changed' WHEN n % 17 = 3 THEN 'provenance' ELSE 'reusable' END AS reason FROM x"""
 SQL["mapped_chunks"] = rf"{_CHUNKS} SELECT recording_id, chunk_no, seg_idx, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM covered"
 SQL["gappy_overlap"] = f"{_CHUNKS} SELECT recording_id, chunk_no, CAST(seg_idx * 3 + seg_idx % 2 AS INTEGER) AS seg_idx, is_primary FROM covered"
+SQL["term_sketches"] = f"""WITH {SHORT}, {_tokens('short_segments', 'recording_id')}
+      SELECT count(*) AS n, count(DISTINCT recording_id) AS n_recordings, count(DISTINCT surface) AS n_terms, true AS recordings_close, true AS terms_close, CAST(10 AS BIGINT) AS n_top, true AS top_close FROM tokens"""
