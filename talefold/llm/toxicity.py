@@ -14,7 +14,7 @@ a hash of the id. All terms and exceptions that these rows give are kept. Scorin
 reads every whole text.
 
 Defined cases: null and empty texts have no hits and get the score of these; texts of
-any length are read as a whole;
+any length are read as a whole, in time that grows with their length and the logarithm of their exceptions;
 without labels of both kinds the lexicon is empty and every score is 0; rows
 repeat as they come; other columns are ignored.
 """
@@ -22,8 +22,10 @@ repeat as they come; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -79,8 +81,9 @@ class Lexicon:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
+            exceptions = set(self.exceptions)
             for t in {**self.terms, **dict.fromkeys(self.exceptions, 0.0)}:
-                self.automaton.add_word(t, (len(t), self.terms.get(t), t in self.exceptions))
+                self.automaton.add_word(t, (len(t), self.terms.get(t), t in exceptions))
             self.automaton.make_automaton()
         line = folded(text)
         hits, spared = [], []
@@ -90,7 +93,10 @@ class Lexicon:
             if weight is not None:
                 hits.append((end - n + 1, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            # Exceptions come by their ends; of those that end no earlier than a hit, the first to begin decides.
+            ends = [b for _, b in spared]
+            begins = list(accumulate((a for a, _ in reversed(spared)), min))[::-1]
+            hits = [h for h in hits if (k := bisect_left(ends, h[1])) == len(ends) or begins[k] > h[0]]
         return sum(h[2] for h in hits) / (line.count(" ") + 1)
 
     def scores(self, densities: np.ndarray) -> np.ndarray:
