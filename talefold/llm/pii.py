@@ -1,10 +1,11 @@
 """Surrogates for personal data.
 
-Entities are found by one pattern: mail addresses, IPv4 addresses, payment cards,
-IBANs, phone and social security numbers, secrets, and names behind an honorific or
-a known given name. A text that holds such a name is looked through once more: its
-surnames are replaced wherever they stand, with a given name in front of them in
-mid-sentence. Each entity is brought to a canonical form, so that spellings of one
+Entities are found by one pattern: mail addresses, IPv4 and IPv6 addresses, payment cards,
+IBANs, phone and social security numbers, secrets, and names behind an honorific (with
+initials and particles, in capitals too) or a known given name. A text that holds such a name
+is looked through once more: its surnames are replaced wherever they stand, with a given name
+in front of them in mid-sentence, and the given names so found wherever they stand. Initials
+are exchanged by a keyed order of the alphabet. Each entity is brought to a canonical form, so that spellings of one
 entity (case, separators) stay one entity; a name's given name and surname are
 entities of their own, so a surname keeps its surrogate with and without given name
 or honorific. A keyed SHA-256 of type and canonical form drives its surrogate: letters
@@ -24,6 +25,8 @@ give repeated results; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,19 +53,25 @@ _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _WORD = r"\p{Lu}[\p{L}'’-]{0,63}+"
 #: Calling codes of one and of two digits; all others have three.
 ONE_DIGIT, TWO_DIGITS = "17", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
-_NAMES = "|".join(sorted({n for x in GIVEN.values() for n in x.split()}))
-_TITLES = "|".join(sorted((t for x in HONORIFICS.values() for t in x.split()), key=len, reverse=True))
+_NAMES = "|".join(sorted({m for x in GIVEN.values() for n in x.split() for m in (n, n.upper())}))
+_TITLES = "|".join(sorted({m for x in HONORIFICS.values() for t in x.split() for m in (t, t.upper())}, key=lambda t: (-len(t), t)))
+#: Words before a surname that stay, and letters that initials are taken from.
+PARTICLES = "van von de der den del della di da dos du la le ter ten zu zum zur"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΤΥΦΧΨΩ"
+_INITIALS = r"(?:\p{Lu}\. ?){0,3}"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES.split())}) ){{0,3}}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: type: pattern; the first that matches in full names an entity's type.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,20}(?<=\.\p{L}{2,24})",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "iban": _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "secret": _B + r"(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{16,128})" + _E,
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "card": _B + r"\d(?:[ -]?\d){12,18}" + _E,
-    "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})" + _E,
-    "name": _B + rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}{_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD})",
+    "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{6,8})" + _E,
+    "name": _B + rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}{_INITIALS}(?:{_WORD} {_INITIALS})?{_PARTICLE}{_WORD}|(?:{_NAMES}) {_INITIALS}{_WORD})",
 }
 ANY = "|".join(PATTERNS.values())
 #: Also every capitalised word, for texts that hold names.
@@ -89,6 +98,7 @@ _BARE = rf"^(?:(?:{_TITLES})\.? ){{1,3}}"
 CANON = f"""CASE kind
   WHEN 'email' THEN lower(value)
   WHEN 'ip' THEN value
+  WHEN 'ip6' THEN lower(value)
   WHEN 'iban' THEN replace(value, ' ', '')
   WHEN 'secret' THEN IF(value RLIKE '^[0-9a-fA-F]+$', lower(value), value)
   WHEN 'phone' THEN concat(IF(value LIKE '+%', '+', ''), regexp_replace(value, '[^0-9]', ''))
@@ -99,9 +109,9 @@ SCRIPT = "CASE WHEN value RLIKE '\\\\p{IsCyrillic}' THEN 'cyrillic' WHEN value R
 
 
 def _gender() -> str:
-    titles = "split(title, '[. ]+')"
-    cases = [f"WHEN arrays_overlap({_list(HONORIFICS[g])}, {titles}) THEN '{g}'" for g in "fm"]
-    cases += [f"WHEN array_contains({_list(' '.join(v for (h, _), v in GIVEN.items() if h == g))}, value) THEN '{g}'" for g in "fm"]
+    titles = "split(lower(title), '[. ]+')"
+    cases = [f"WHEN arrays_overlap({_list(HONORIFICS[g].lower())}, {titles}) THEN '{g}'" for g in "fm"]
+    cases += [f"WHEN array_contains({_list(' '.join(v for (h, _), v in GIVEN.items() if h == g).lower())}, lower(value)) THEN '{g}'" for g in "fm"]
     return f"CASE WHEN kind <> 'given' THEN NULL {' '.join(cases)} END"
 
 
@@ -145,9 +155,11 @@ def _with_core(entities: DataFrame, key: str) -> DataFrame:
     out = out.withColumn("form", F.expr(f"IF(kind IN ('card', 'phone', 'ssn', 'iban', 'secret'), concat(canon, repeat('0', {extra})), canon)"))
     out = out.withColumn("body", F.expr(_each("form", any_)))
     hexes = _each("form", f"substring('0123456789abcdef', 1 + pmod({_byte('$i')}, 16), 1)")
+    groups = _each("canon", f"IF($c = ':', ':', substring('0123456789abcdef', 1 + pmod({_byte('$i')}, 16), 1))")
     code = f"CASE WHEN canon NOT LIKE '+%' THEN 1 WHEN instr('{ONE_DIGIT}', substring(canon, 2, 1)) > 0 THEN 2 WHEN array_contains({_list(TWO_DIGITS)}, substring(canon, 2, 2)) THEN 3 ELSE 4 END"
     out = out.withColumn("code", F.expr(code))
-    digits = _each("form", f"IF($i < code, $c, string(pmod({_byte('$i')}, 10)))")
+    # Area codes and exchanges behind +1 begin with 2 to 9.
+    digits = _each("form", f"CASE WHEN $i < code THEN $c WHEN canon LIKE '+1%' AND $i IN (2, 5) THEN string(2 + pmod({_byte('$i')}, 8)) ELSE string(pmod({_byte('$i')}, 10)) END")
     out = out.withColumn("digits", F.expr(f"CASE WHEN kind IN ('card', 'phone', 'ssn') THEN {digits} END"))
     # A card's last digit gives the number the remainder that the original has.
     out = out.withColumn("card", F.expr("CASE WHEN kind = 'card' THEN concat(substring(digits, 1, length(digits) - 1), '0') END"))
@@ -163,6 +175,7 @@ def _with_core(entities: DataFrame, key: str) -> DataFrame:
       WHEN 'email' THEN concat(substring_index(body, '@', 1), IF(draw > 5, concat('.', array_join(transform(sequence(1, {extra}), i -> substring('{LETTERS['latin']}', 1 + pmod({_byte('i + 70')}, 26), 1)), '')), ''),
         '@', substring_index(substring_index(body, '@', -1), '.', size(split(substring_index(body, '@', -1), '\\\\.')) - 1), '.', substring_index(canon, '.', -1))
       WHEN 'ip' THEN array_join(transform(sequence(0, 3), i -> string(1 + pmod({_byte('i')}, 254))), '.')
+      WHEN 'ip6' THEN {groups}
       WHEN 'iban' THEN concat(substring(canon, 1, 2), lpad(string(98 - {_mod97('account')}), 2, '0'), substring(body, 5))
       WHEN 'secret' THEN IF(canon RLIKE '^[0-9a-f]+$', {hexes}, concat(regexp_extract(canon, '^(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?', 0), substring(body, 1 + length(regexp_extract(canon, '^(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?', 0)))))
       WHEN 'card' THEN card
@@ -189,6 +202,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         taken = taken.unionByName(now.select("core"))
 
 
+def _shuffled(key: str, letters: str) -> str:
+    """The letters in an order that the key decides."""
+    return "".join(sorted(letters, key=lambda c: hashlib.sha256(f"{key}\x1f{c}".encode()).digest()))
+
+
 def _spelled() -> str:
     """The surrogate core in the spelling of value."""
     digits_before = "length(regexp_replace(substring(value, 1, i), '[^0-9]', ''))"
@@ -200,6 +218,7 @@ def _spelled() -> str:
     grouped = f"concat({grouped}, substring(core, 1 + length(replace(value, ' ', ''))))"
     cased = "IF(length(value) > 1 AND value = upper(value), upper(core), array_join(transform(split(core, '-'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '-'))"
     return f"""CASE kind WHEN 'ip' THEN core
+      WHEN 'ip6' THEN IF(value = upper(value), upper(core), core)
       WHEN 'email' THEN IF(value = upper(value), upper(core), core)
       WHEN 'secret' THEN IF(canon <> value AND value = upper(value), upper(core), core)
       WHEN 'iban' THEN {grouped}
@@ -209,14 +228,22 @@ def _spelled() -> str:
 
 
 def _parts() -> str:
-    """A match's entities in order, each with the text before it: a name's given name and surname, else the value itself."""
+    """A match's entities in order, each with the text before it: a name's given name, initials and surname, else the value itself."""
     title = f"regexp_extract(whole, {_sql(_BARE)}, 0)"
-    words = f"split(regexp_replace(whole, {_sql(_BARE)}, ''), ' ')"
-    known = _list(" ".join(GIVEN.values()))
-    part = lambda kind, title, value: f"named_struct('kind', {kind}, 'title', {title}, 'value', {value})"
-    one = part(f"IF(array_contains({known}, {words}[0]), 'given', 'surname')", title, f"{words}[0]")
-    two = f"array({part(_sql('given'), title, f'{words}[0]')}, {part(_sql('surname'), _sql(' '), f'{words}[1]')})"
-    return f"CASE WHEN kind <> 'name' THEN array({part('kind', _sql(''), 'whole')}) WHEN size({words}) = 1 THEN array({one}) ELSE {two} END"
+    name = f"regexp_replace(whole, {_sql(_BARE)}, '')"
+    form = f"^({_INITIALS})(?:({_WORD}) ({_INITIALS}))?({_PARTICLE})({_WORD})$"
+    piece = lambda n: f"regexp_extract({name}, {_sql(form)}, {n})"
+    init, given, more, particle, last = (piece(n) for n in range(1, 6))
+    known = _list(" ".join(GIVEN.values()).lower())
+    part = lambda kind, title, lead, value: f"named_struct('kind', {kind}, 'title', {title}, 'lead', {lead}, 'value', {value})"
+    behind = f"IF({init} = '', {title}, '')"
+    in_name = [
+        part("'initials'", "''", title, init),
+        part("'given'", title, behind, given),
+        part("'initials'", "''", "' '", more),
+        part(f"IF({given} = '' AND array_contains({known}, lower({last})), 'given', 'surname')", title, f"concat(CASE WHEN {given} = '' THEN {behind} WHEN {more} = '' THEN ' ' ELSE '' END, {particle})", last),
+    ]
+    return f"CASE WHEN kind <> 'name' THEN array({part('kind', _sql(''), _sql(''), 'whole')}) ELSE filter(array({', '.join(in_name)}), p -> p.value <> '') END"
 
 
 def _matches(rows: DataFrame, pattern: str) -> DataFrame:
@@ -231,10 +258,13 @@ def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     """k, id, at, kind, whole of all capitalised words and matches of the texts that hold names; found has surnames by text.
 
     A word's kind is surname if the text has that surname in a full name; given if it
-    stands right before one in mid-sentence; else it is null, and the word stays.
+    stands right before one in mid-sentence, or is a given name of the text elsewhere;
+    else it is null, and the word stays.
     """
-    own = cut(found.select("k", "id", F.explode("parts").alias("p")).where("p.kind = 'surname'").select("k", "id", F.lower("p.value").alias("canon")).distinct())
-    texts = own.select("k", "id").distinct()
+    parts = found.select("k", "id", F.explode("parts").alias("p")).select("k", "id", "p.kind", F.lower("p.value").alias("canon"))
+    own = cut(parts.where("kind IN ('given', 'surname')").distinct())
+    givens, own = own.where("kind = 'given'").drop("kind"), own.where("kind = 'surname'").drop("kind")
+    texts = found.select("k", "id").distinct()
     held = rows.join(small(cut(texts.select("k").distinct())), "k", "left_semi").alias("r")
     held = held.join(texts.alias("t"), (F.col("t.k") == F.col("r.k")) & F.col("t.id").eqNullSafe(F.col("r.id")), "left_semi")
     words = cut(_matches(held, WIDE).withColumn("kind", type_of(F.col("whole"))))
@@ -244,7 +274,11 @@ def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     before_one = F.lead("is_surname").over(Window.partitionBy("k", "id").orderBy("at"))
     given = before_one & (F.col("tail") == " ") & F.col("lead").rlike(r"[\p{Ll},] $") & ~F.col("whole").isin((" ".join(HONORIFICS.values())).split())
     kind = F.coalesce("kind", F.when(F.col("is_surname"), "surname").when(given, "given"))
-    return told.select("k", "id", "at", kind.alias("kind"), "whole")
+    told = cut(told.select("k", "id", "at", kind.alias("kind"), "whole"))
+    givens = cut(givens.unionByName(told.where("kind = 'given'").select("k", "id", F.lower("whole").alias("canon"))).distinct()).alias("g")
+    t = told.alias("t")
+    again = (F.col("g.k") == F.col("t.k")) & F.col("g.id").eqNullSafe(F.col("t.id")) & (F.col("g.canon") == F.lower("t.whole")) & F.col("t.kind").isNull()
+    return t.join(givens, again, "left").select("t.k", "t.id", "t.at", F.coalesce("t.kind", F.when(F.col("g.canon").isNotNull(), "given")).alias("kind"), "t.whole")
 
 
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,9 +295,11 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
         found = rest.select("f.*").unionByName(wide)
     of_match = found.where("kind IS NOT NULL").select("kind", "whole", "parts").groupBy("kind", "whole").agg(F.first("parts").alias("parts"))
     values = of_match.select(F.col("kind").alias("of"), "whole", F.posexplode("parts").alias("n", "p")).select("of", "whole", "n", "p.*")
-    values = cut(values.select("of", "whole", "n", "kind", "title", "value", F.expr(CANON).alias("canon"), F.expr(SCRIPT).alias("script"), F.expr(_gender()).alias("gender")))
-    entities = cut(values.groupBy("kind", "canon").agg(F.min("script").alias("script"), F.max("gender").alias("gender")))
-    spelled = values.join(surrogates(entities, key), ["kind", "canon"]).select("of", "whole", F.struct("n", F.concat("title", F.expr(_spelled())).alias("text")).alias("part"))
+    values = cut(values.select("of", "whole", "n", "kind", "title", "lead", "value", F.expr(CANON).alias("canon"), F.expr(SCRIPT).alias("script"), F.expr(_gender()).alias("gender")))
+    entities = cut(values.where("kind <> 'initials'").groupBy("kind", "canon").agg(F.min("script").alias("script"), F.max("gender").alias("gender")))
+    entity = values.join(surrogates(entities, key), ["kind", "canon"]).withColumn("stands", F.expr(_spelled()))
+    initials = values.where("kind = 'initials'").withColumn("stands", F.translate("value", "".join(CAPITALS), "".join(_shuffled(key, x) for x in CAPITALS)))
+    spelled = entity.select("of", "whole", "n", "lead", "stands").unionByName(initials.select("of", "whole", "n", "lead", "stands")).select("of", "whole", F.struct("n", F.concat("lead", "stands").alias("text")).alias("part"))
     spelled = cut(spelled.groupBy("of", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("stand")))
 
     stands = found.join(spelled.withColumnRenamed("of", "kind"), ["kind", "whole"], "left").select("k", "id", "at", "kind", "wide", F.coalesce("stand", "whole").alias("stand"))

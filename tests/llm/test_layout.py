@@ -1,12 +1,16 @@
 """Layout of tables, lists and styles; time on hard pages and texts."""
 
+import re
 import time
 
 import pytest
 
 from talefold.llm.html_text import page_text
+from talefold.llm.pii import replace_private
 from talefold.llm.toxicity import Lexicon
 
+from .common import documents
+
 
 @pytest.mark.parametrize(
     ("page", "text"),
@@ -77,3 +81,28 @@ def test_many_exceptions_take_time_by_the_length():
     assert lexicon.density("bad luck " * 120_000) == 0
     assert time.perf_counter() - began < 5
     assert lexicon.density("bad luck bad day too bad luck comes bad") == pytest.approx(2 / 11)
+
+
+def test_names_in_all_their_forms(spark):
+    texts = [
+        "Mr J. Smith came. Smith left.",
+        "Dr. van der Berg and Mr de Villiers spoke; Berg too",
+        "MR JOHN SMITH and John Smith, Mr John R. Smith",
+        "Dr Weber spoke about Lara Weber. Lara Weber was here. Lara left",
+        "at 2001:db8:0:1:1:1:1:1 or fe80::1 at 12:30:45",
+        "call 030 1234567 or +1 212 555 0199",
+        "Leon la, iereu 030 12 and van der Waals stay",
+    ]
+    got = [r.text for r in replace_private(documents(spark, list(enumerate(texts))), "key").orderBy("doc_id").collect()]
+    smith = re.fullmatch(r"Mr [A-Z]\. (\w+) came\. (\w+) left\.", got[0]).groups()
+    assert smith[0] == smith[1] != "Smith" and not got[0].startswith("Mr J.")
+    berg = re.fullmatch(r"Dr\. van der (\w+) and Mr de (\w+) spoke; (\w+) too", got[1]).groups()
+    assert berg[0] == berg[2] != "Berg" and berg[1] != "Villiers"
+    upper = re.fullmatch(r"MR (\S+) (\w+) and (\S+) (\w+), Mr (\S+) [A-Z]\. (\w+)", got[2]).groups()
+    assert upper[0] == upper[2].upper() and upper[1] == smith[0].upper() and upper[2:4] == upper[4:] != ("John", "Smith")
+    weber = re.fullmatch(r"Dr (\w+) spoke about (\S+) (\w+)\. (\S+) (\w+) was here\. (\S+) left", got[3]).groups()
+    assert weber[0] == weber[2] == weber[4] != "Weber" and weber[1] == weber[3] == weber[5] != "Lara"
+    six = re.fullmatch(r"at ([0-9a-f]{4}:[0-9a-f]{3}(?::[0-9a-f]){6}) or ([0-9a-f]{4}::[0-9a-f]) at 12:30:45", got[4]).groups()
+    assert six[0] != "2001:db8:0:1:1:1:1:1" and six[1] != "fe80::1"
+    assert re.fullmatch(r"call 0\d\d \d{7} or \+1 [2-9]\d\d [2-9]\d\d \d{4}", got[5]) and "1234567" not in got[5]
+    assert got[6] == texts[6]
