@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -193,6 +195,22 @@ def clean_token(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return first_rule([(F.lower(F.regexp_replace(bare, r"(?U)\s+", "")) == k, F.lit(v)) for k, v in (aliases or {}).items()], text)
 
 
+def without_endings(c: Column, endings: list[str], fillers: list[str] = (), from_: list[str] = (), keep: list[str] = ()) -> Column:
+    """A title's word without what a language hangs on it: filler words and all from given patterns on are left out, then one of the endings.
+
+    endings: literal suffixes, of which the longest that fits goes; fillers: literal words;
+    from_: patterns behind which the rest goes; keep: titles that stay as they are.
+    """
+    told = strip(F.coalesce(c, F.lit("")))
+    if fillers:
+        told = F.regexp_replace(told, rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, fillers))})(?!\w)", " ")
+    for pattern in from_:
+        told = F.regexp_replace(told, rf"(?:{pattern}).*$", "")
+    told = F.regexp_replace(squeeze(told), r"^[ .,:;·\-_]+|[ .,:;·\-_]+$", "")
+    bare = strip(F.regexp_replace(told, rf"(?:{'|'.join(map(re.escape, sorted(endings, key=len, reverse=True)))})$", "")) if endings else told
+    return F.when(told.isin(list(keep)), told).otherwise(bare) if keep else bare
+
+
 def norm(c: Column) -> Column:
     """Letters, digits and underscores of a text, in lower case."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]", "")

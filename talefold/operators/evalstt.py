@@ -22,6 +22,19 @@ def report(hits: DataFrame) -> DataFrame:
     return out.withColumn("hit_permille", F.expr("CASE WHEN n_must > 0 THEN n_hits * 1000 DIV n_must END"))
 
 
+def timed_report(hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """The report with the runs' seconds: runs(case_id, model, elapsed_sec and, where known, audio_sec).
+
+    seconds, slowest_sec, and real_time_permille: seconds of work for a thousand of audio, over the runs whose audio is known.
+    """
+    known = F.col("audio_sec") > 0 if "audio_sec" in runs.columns else F.lit(False)
+    audio = F.when(known, F.col("audio_sec")) if "audio_sec" in runs.columns else F.lit(None).cast("double")
+    took = runs.rollup("model").agg(F.sum("elapsed_sec").alias("seconds"), F.max("elapsed_sec").alias("slowest_sec"), F.sum(F.when(known, F.col("elapsed_sec"))).alias("timed"), F.sum(audio).alias("audio"))
+    took = took.select(F.col("model").alias("of"), "seconds", "slowest_sec", F.when(F.col("audio") > 0, F.floor(F.col("timed") * 1000 / F.col("audio"))).cast("long").alias("real_time_permille"))
+    rows = report(hits)
+    return rows.join(took, rows["model"].eqNullSafe(took["of"])).drop("of")
+
+
 def keyword_quality(rows: DataFrame, fillers: list[str], most: int = 8) -> DataFrame:
     """recording_id, n_keywords, filler_hits, passed of rows(recording_id, keywords array): no filler and at most `most`."""
     words = F.coalesce("keywords", F.array().cast("array<string>"))

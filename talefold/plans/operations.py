@@ -199,6 +199,13 @@ def stt_case_hits(spark, d):
     return E.case_hits(_cases(spark, d), _runs(spark, d))
 
 
+def stt_seconds(spark, d):
+    """The report by model with seconds; a run takes a second per 500 characters of audio at 15 characters a second, and some lengths are not known."""
+    n = F.col("n_chars")
+    runs = table(spark, d, "documents").select(F.col("source").alias("model"), (F.floor(n / 500) + 1).alias("elapsed_sec"), F.when(F.col("doc_id") % 4 != 1, F.floor(n / 15) + 1).alias("audio_sec"))
+    return E.timed_report(stt_case_hits(spark, d), runs).withColumn("model", F.coalesce("model", F.lit("all")))
+
+
 def stt_report(spark, d):
     return E.report(stt_case_hits(spark, d)).withColumn("model", F.coalesce("model", F.lit("all")))
 
@@ -276,7 +283,7 @@ def keyword_quality(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (queue_eligible, stale_recovery, superseded_jobs, stage_occupancy, retry_triage, reconcile_actions, event_profile, fenced_updates, peak_concurrency, lease_episodes, progress_changes, live_only, tombstone_state, file_refs, purge_plan, carry_forward, register_artifacts, reference_scan, safe_delete, upload_verdicts, ingest_once, archive_verify, archive_keys, stt_case_hits, stt_report, cancel_deleted, keyword_quality)
+    for f in (queue_eligible, stale_recovery, superseded_jobs, stage_occupancy, retry_triage, reconcile_actions, event_profile, fenced_updates, peak_concurrency, lease_episodes, progress_changes, live_only, tombstone_state, file_refs, purge_plan, carry_forward, register_artifacts, reference_scan, safe_delete, upload_verdicts, ingest_once, archive_verify, archive_keys, stt_case_hits, stt_report, stt_seconds, cancel_deleted, keyword_quality)
     + (enqueue, job_listing, event_listing, chunk_times, orphan_files, purge_status, device_pending, edit_leases, visible_children, upload_defaults, flat_catalog, gold_skeleton)
 }
 
@@ -360,3 +367,7 @@ _STATUS = f"""{SQL["purge_plan"].replace("SELECT purge_id, count(*)", ", p AS (S
     SELECT p.purge_id, CASE WHEN NOT ready THEN 'blocked' WHEN p.purge_id % 5 = 0 THEN 'pending' WHEN p.purge_id % 3 <> 0 THEN 'done' WHEN p.purge_id % 2 = 0 THEN 'failed' ELSE 'pending' END AS server, CASE WHEN p.purge_id % 5 <> 0 AND p.purge_id % 4 <> 0 THEN 'done' ELSE 'pending' END AS device FROM p)"""
 SQL["purge_status"] = f"{_STATUS} SELECT *, CASE WHEN server = 'blocked' THEN 'blocked' WHEN server = 'done' AND device = 'done' THEN 'done' WHEN server = 'failed' THEN 'failed' ELSE 'pending' END AS overall FROM t"
 SQL["device_pending"] = f"{_STATUS} SELECT purge_id FROM t WHERE server = 'done' AND device = 'pending'"
+SQL["stt_seconds"] = f"""WITH r AS ({SQL["stt_report"]}), t AS (
+      SELECT coalesce(source, 'all') AS model, CAST(sum(n_chars // 500 + 1) AS BIGINT) AS seconds, max(n_chars // 500 + 1) AS slowest_sec,
+        CAST(sum(n_chars // 500 + 1) FILTER (doc_id % 4 <> 1) * 1000 // sum(n_chars // 15 + 1) FILTER (doc_id % 4 <> 1) AS BIGINT) AS real_time_permille FROM documents GROUP BY ROLLUP (source))
+      SELECT r.*, seconds, slowest_sec, real_time_permille FROM r JOIN t USING (model)"""

@@ -31,6 +31,18 @@ def flat_files(paths: DataFrame) -> DataFrame:
     return rows.where("prefix <> ''").groupBy("prefix").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
+def jdbc_rows(spark: SparkSession, url: str, table: str, by: str, parts: int = 32, **options: str) -> DataFrame:
+    """A table of a database, read by `parts` tasks in ranges of the whole-numbered column `by`, whose bounds are asked for first.
+
+    The bounds only deal the rows; rows outside them and those where `by` is null are read too.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    low, high = reader.load().agg(F.min(by), F.max(by)).first()  # the database works these out
+    if low is None:
+        return reader.load()
+    return reader.option("partitionColumn", by).option("lowerBound", low).option("upperBound", high + 1).option("numPartitions", max(1, min(parts, high - low + 1))).load()
+
+
 def _by_bucket(rows: DataFrame, buckets: int):
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("recording_id"), F.lit(buckets)))
     return rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")

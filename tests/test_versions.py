@@ -9,11 +9,12 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from talefold.functions import recordings
 from talefold.operators import chunking as C
-from talefold.operators import diffing, groups, reduce_tree, sketches, titles
+from talefold.operators import diffing, evalstt, groups, reduce_tree, sketches, titles
 from talefold.operators import ranges as B
 from talefold.operators import reduce as R
-from talefold.sources import files
+from talefold.sources import files, tables
 
 
 def test_ranges_of_any_width(spark):
@@ -155,3 +156,29 @@ def test_curated_titles_join_no_group(spark):
     assert got == {0: (0, 3), 2: (0, 3), 6: (0, 3)}
     free = {r.id for r in titles.collision_groups(spark.createDataFrame(rows, "id long, title string, reason string")).collect()}
     assert free == {0, 1, 2, 3, 4, 6} and all(a < b for a, b in itertools.pairwise(sorted(free)))
+
+
+def test_title_endings(spark):
+    cases = {"회의에서": "회의", "예산을": "예산", "가": "", " plan for the team": "plan", "Notes ing": "Notes", "keep을": "keep을", None: "", "about  things": "things"}
+    table = spark.createDataFrame([(k,) for k in cases], "t string")
+    out = recordings.without_endings("t", ["서", "에서", "을", "가", "ing"], ["about"], [" for "], ["keep을"])
+    assert {r.t: r.o for r in table.select("t", out.alias("o")).collect()} == cases
+
+
+def test_timed_report(spark):
+    hits = spark.createDataFrame([(1, "m", 2, 1, [], 0), (2, "n", 2, 2, [], 1)], "case_id int, model string, n_must long, n_hits long, misses array<string>, n_bad long")
+    runs = spark.createDataFrame([("m", 4, 40), ("m", 6, None), ("n", 5, 10)], "model string, elapsed_sec long, audio_sec long")
+    got = {r.model: (r.n_hits, r.seconds, r.slowest_sec, r.real_time_permille) for r in evalstt.timed_report(hits, runs).collect()}
+    assert got == {"m": (1, 10, 6, 100), "n": (2, 5, 5, 500), None: (3, 15, 6, 180)}
+    assert evalstt.timed_report(hits, runs.drop("audio_sec")).where("real_time_permille IS NOT NULL").count() == 0
+
+
+def test_database_rows(spark):
+    url = "jdbc:derby:memory:jobs;create=true"
+    rows = spark.range(100).selectExpr("IF(id % 10 = 3, NULL, id * 7) AS job", "CAST(id AS string) AS told")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "jobs").mode("overwrite").save()
+    got = tables.jdbc_rows(spark, url, "jobs", "job", 5)
+    assert got.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    rows.limit(0).write.format("jdbc").option("url", url).option("dbtable", "empty_jobs").mode("overwrite").save()
+    assert tables.jdbc_rows(spark, url, "empty_jobs", "job").collect() == []
