@@ -71,11 +71,12 @@ PATTERNS = {
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "card": _B + r"\d(?:[ -]?\d){12,18}" + _E,
     "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{6,8})" + _E,
-    "name": _B + rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}{_INITIALS}(?:{_WORD} {_INITIALS})?{_PARTICLE}{_WORD}|(?:{_NAMES}) {_INITIALS}{_WORD})",
+    "name": _B + rf"(?=\p{{Lu}})(?:(?:(?:{_TITLES})\.? ){{1,3}}{_INITIALS}(?:{_WORD} {_INITIALS})?{_PARTICLE}{_WORD}|(?:{_NAMES}) {_INITIALS}{_WORD})",
 }
-ANY = "|".join(PATTERNS.values())
+#: All begin behind what is no letter or digit, which is asked once for all of them.
+ANY = f"{_B}(?:{'|'.join(PATTERNS.values())})"
 #: Also every capitalised word, for texts that hold names.
-WIDE = rf"{ANY}|{_B}{_WORD}"
+WIDE = f"{_B}(?:{'|'.join(PATTERNS.values())}|{_WORD})"
 
 
 def _sql(text: str) -> str:
