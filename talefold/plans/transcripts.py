@@ -109,12 +109,12 @@ def pack_long(spark, d):
 
 def chunk_manifest(spark, d):
     s = long_segments(spark, d)
-    return C.manifest(s, C.semantic_chunks(s, 600, 800), 800, ids=True)
+    return C.manifest(s, C.semantic_chunks(s, 600, 800, sized=True), 800, ids=True)
 
 
 def _covered(spark, d):
     s = long_segments(spark, d)
-    return C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800), 800), s)
+    return C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800, sized=True), 800), s)
 
 
 def chunk_overlap(spark, d):
@@ -124,7 +124,7 @@ def chunk_overlap(spark, d):
 def gappy_overlap(spark, d):
     """The same on segments that keep their gaps."""
     s = long_segments(spark, d).withColumn("seg_idx", F.expr("CAST(seg_idx * 3 + seg_idx % 2 AS INT)"))
-    return C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800), 800), s, dense=False).drop("text")
+    return C.overlap(C.manifest(s, C.semantic_chunks(s, 600, 800, sized=True), 800), s, dense=False).drop("text")
 
 
 def chunk_hash(spark, d):
