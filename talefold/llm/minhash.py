@@ -18,6 +18,12 @@ rest, block by block where it is large, by longer signatures (2048 minima of one
 pairs that pass it, each found in the first bucket that it shares, are confirmed as
 well. So every pair in a bucket is either compared or already connected.
 
+A bucket that holds more than CROWD classes outside its largest component (documents of
+one template, which don't link) is not compared as it is. Its classes get finer buckets,
+200 bands of ten of the long signature's minima: a pair at the threshold shares one but with a probability below
+1e-5, one of similarity 0.55 does in half of the cases, one of 0.4 in one of fifty. In the finer
+buckets the signatures are compared in blocks of BLOCK by BLOCK, as bits.
+
 Defined cases: a null text is empty; a text without words has an empty set and
 is linked with nothing; with fewer than five words, the whole sequence is its one
 shingle; rows that share an id are one document; a row with a null id is linked
@@ -30,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +53,10 @@ HELD = 100_000
 BLOCK = 2_000
 #: Minima of one bit in the longer signatures; their estimates below TIGHT are over four standard errors below 0.75.
 LONG, TIGHT = 2048, 0.685
+#: Classes outside a bucket's main component beyond which finer bands are taken, and these bands and their rows.
+CROWD, FINE_BANDS, FINE_ROWS = 64, 200, 10
+#: Rows of finer buckets that one group of a task compares, about, and rows of a block held against the others at once.
+DEALT, STRIP = 20_000, 256
 #: Estimates below this are over five standard errors below 0.75 with 128 minima of two bits.
 LEAST_ESTIMATE = 0.5
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"
@@ -66,15 +77,23 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[: bands * rows].reshape(bands, rows)[:, r])
+    return keys.view(np.int64)
+
+
 def signature(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys, one per band, and bit planes of the minima's low bits."""
     low = minima(hashes, bands * rows).astype(np.uint64)
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for r in range(rows):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low.reshape(bands, rows)[:, r])
+    return band_keys(low, bands, rows), bit_planes(low, bits)
+
+
+def bit_planes(low: np.ndarray, bits: int) -> np.ndarray:
     mixed = mix(low + np.uint64(0x632BE59BD9B4E019))
     planes = np.packbits([(mixed >> np.uint64(i)) & np.uint64(1) for i in range(bits)], axis=1, bitorder="little")
-    return keys.view(np.int64), planes.astype(np.uint8).reshape(-1).view(np.int64)
+    return planes.astype(np.uint8).reshape(-1).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -111,6 +130,64 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, sketch array<long>")
 
 
+def fine_sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """id, sketch as bytes, fine: keys of the finer buckets, for docs(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            lows = [minima(shingles(t, words), LONG).astype(np.uint64) for t in batch.column(1).to_pylist()]
+            planes, keys = [bit_planes(x, 1).tobytes() for x in lows], [band_keys(x, FINE_BANDS, FINE_ROWS) for x in lows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(planes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sketch", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, sketch binary, fine array<long>")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and y of sketches (rows of words) whose estimate is TIGHT at least."""
+    most = int((1 - TIGHT) / 2 * LONG)
+    for i in range(0, len(x), STRIP):
+        differ = np.zeros((len(x[i : i + STRIP]), len(y)), np.uint16)
+        for w in range(x.shape[1]):
+            differ += np.bitwise_count(x[i : i + STRIP, w, None] ^ y[None, :, w])
+        p, q = np.nonzero(differ <= most)
+        yield p + i, q
+
+
+def crowded_pairs(classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """a > b: classes(id, component) of different components that share a finer bucket and may be alike; docs(doc_id, text)."""
+    fine = cut(fine_sketches(docs, words))
+    placed = fine.select("id", F.explode("fine").alias("key")).join(classes, "id")
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"))
+    open_ = counts.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = cut(placed.join(open_, "key"))
+    # A pair of blocks is one group: classes outside the main component on the left, all on the right.
+    own, each = F.expr("int(pmod(xxhash64(id), blocks))"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = placed.where("component != main").select("key", "id", "component", "main", F.lit(True).alias("left"), own.alias("i"), each.alias("j"))
+    right = placed.select("key", "id", "component", "main", F.lit(False).alias("left"), each.alias("i"), own.alias("j"))
+    sides = cut(left.unionByName(right))
+    groups = int(sides.count() // DEALT) + docs.sparkSession.sparkContext.defaultParallelism
+    dealt = sides.join(fine.select("id", "sketch"), "id").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        for _, g in rows.groupby(["key", "i", "j"], sort=False):
+            on_left = g["left"].to_numpy()
+            if not on_left.any() or on_left.all():
+                continue
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+            ids, of, main = g["id"].to_numpy(), g["component"].to_numpy(), g["main"].iloc[0]
+            a, b = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+            for p, q in _alike(sketch[a], sketch[b]):
+                p, q = a[p], b[q]
+                keep = (of[p] != of[q]) & ((of[q] == main) | (ids[p] < ids[q]))
+                p, q = ids[p[keep]], ids[q[keep]]
+                found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    # A stated number of partitions, as the work grows with the rows of a group, not with their bytes.
+    return dealt.repartition(groups, "task").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+
+
 def estimate(a: str, b: str, n: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity estimated from the bit planes in columns a and b."""
     per = n // 64
@@ -172,8 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = components(links)
     labelled = cut(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    places = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
+    places = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), (F.sum("c") - F.max("c") > CROWD).alias("crowded")).where("n > 1").drop("n")
     mixed = cut(labelled.join(cut(places), "key"))
+    crowd, mixed = cut(mixed.where("crowded").select("id", "component").distinct()), mixed.where("NOT crowded").drop("crowded")
     unsure = texts.join(small(cut(mixed.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
     mixed = cut(mixed.join(sketches(unsure, words), "id").join(classes.select("id", "bands"), "id"))
     p, q = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "bands", "sketch")] for side in "pq")
@@ -186,6 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = pair.where(F.expr(once) & (estimate("sketch_p", "sketch_q", LONG, 1) >= TIGHT) & F.expr("array_min(array_intersect(bands_p, bands_q)) = key"))
     open_ = pair.select(F.greatest("id_p", "id_q").alias("a"), F.least("id_p", "id_q").alias("b"))
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if not crowd.isEmpty():
+        open_ = open_.unionByName(crowded_pairs(crowd, texts.join(small(crowd.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi"), words)).distinct()
     more = cut(confirm(cut(open_.join(tried, ["a", "b"], "left_anti")), texts, percent, words))
     if not more.isEmpty():
         known = components(links.unionByName(more))

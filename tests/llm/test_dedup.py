@@ -65,6 +65,40 @@ def test_near(spark):
     assert minhash.near_duplicates(documents(spark, [])).collect() == []
 
 
+def template(i, own=16, shared=80):
+    """Documents of one template, of similarity 0.66 or so, which links none of them."""
+    return prose(shared, 9) + " " + prose(own, 1000 + i, 5000)
+
+
+def test_near_template(spark):
+    """Crowded buckets: what doesn't link stays apart, and links of what stands among it are found."""
+    rows = [(i, template(i)) for i in range(220)]
+    for i in range(0, 220, 20):
+        words = rows[i][1].split()
+        rows.append((1000 + i, " ".join([*words[:40], f"new{i}", *words[41:]])))
+    seen = []
+    plain = minhash.crowded_pairs
+    minhash.crowded_pairs = lambda *a, **k: seen.append(1) or plain(*a, **k)
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    finally:
+        minhash.crowded_pairs = plain
+    assert seen and got == {i: low for i, _, low, _ in brute_near(rows)}
+
+
+def test_crowded_pairs(spark):
+    """Every linked pair of different components is a candidate, each once, in small blocks too."""
+    docs = spark.createDataFrame([(i, template(i)) for i in range(60)] + [(100 + i, template(i) + " more") for i in range(60)], "doc_id long, text string")
+    classes = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isin(0, 1, 2), 0).otherwise(F.col("doc_id")).cast("long").alias("component"))
+    block, minhash.BLOCK = minhash.BLOCK, 15
+    try:
+        got = [tuple(r) for r in minhash.crowded_pairs(classes, docs).collect()]
+    finally:
+        minhash.BLOCK = block
+    assert len(got) == len(set(got)) and {(100 + i, i) for i in range(60)} <= set(got)
+    assert all(a > b and a > 2 for a, b in got)
+
+
 def test_near_chain(spark):
     """A chain of small edits is one component though its ends are unlike, and the large hot group has no lost link."""
     words = prose(150, 5).split()
