@@ -6,7 +6,8 @@ anchors.py), so windows are compared only under equal anchors:
 
 1. Each text gives its anchors, with a 128-bit BLAKE2b digest of the bytes of all
    windows that the anchor marks (its context). Counted by anchor and digest, contexts
-   that occur twice are repeated as a whole, however many copies there are.
+   that occur twice are repeated as a whole, however many copies there are. Equal contexts
+   in a row, as in a text of one repeated letter or phrase, are one row with their number.
 2. Anchors with several different contexts need a comparison. One of each context
    brings its bytes. The suffixes that start at the anchor, and the reversed
    prefixes that end there, are sorted by multikey quicksort to a shallow depth and
@@ -40,7 +41,9 @@ from .suffix_sort import pairwise
 
 #: Contexts of one anchor that one task sorts at most; and of several anchors together.
 GROUP, BATCH = 1000, 4000
-PLACED = "id long, k long, at long, first long, last long, key long, context long, context2 long"
+#: Anchors after which a task hands rows on.
+HANDED = 50_000
+PLACED = "id long, k long, at long, first long, last long, ending long, times long, key long, context long, context2 long"
 CONTEXT = ["key", "context", "context2"]
 RUNS = "id long, k long, start long, stop long"
 
@@ -58,26 +61,45 @@ def _ids(column: pd.Series) -> pd.Series:
     return column.astype("Int64")
 
 
+def contexts_of(b: np.ndarray, span: int, k: int) -> list[np.ndarray]:
+    """at, first, last, ending, times, key and digest (two numbers) of each anchor's context; of `times` equal contexts
+    in a row, the first one and the last window of the last one."""
+    at, key, first, last = anchors(Prefix(b), len(b), span, k)
+    raw, digest, kept, previous = b.tobytes(), [], [], None
+    for i, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        context = raw[f : t + span]
+        # Equal contexts have their anchors, the leftmost least hashes of their windows, at equal places.
+        if context != previous:
+            kept.append(i)
+            digest.append(hashlib.blake2b(context, digest_size=16).digest())
+            previous = context
+    of = np.array(kept, np.int64)
+    after = np.append(of[1:], len(at))
+    return [at[of], first[of], last[of], last[after - 1], after - of, key[of].view(np.int64), *np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2).T]
+
+
 def place(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """PLACED: every anchor of every text, the windows it marks, the anchor's hash, and its context's digest."""
+    """PLACED: the anchors of every text, the windows they mark, the anchor's hash, and its context's digest."""
+    names = PLACED.replace(" long", "").split(", ")
+
+    def table(out: list[tuple[int | None, int, list[np.ndarray]]]) -> pd.DataFrame:
+        n = [len(found[0]) for _, _, found in out]
+        whose = pd.DataFrame({"id": pd.array([i for i, _, _ in out], "Int64").repeat(n), "k": np.repeat([k for _, k, _ in out], n)})
+        return whose.assign(**{name: np.concatenate(x) for name, x in zip(names[2:], zip(*(found for _, _, found in out), strict=True), strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, text in enumerate(batch["text"]):
+            out, size = [], 0
+            for id_, of, text in zip(_ids(batch["id"]).tolist(), batch["k"].tolist(), batch["text"], strict=True):
                 b = _bytes(text)
-                if len(b) < span:
-                    continue
-                at, key, first, last = anchors(Prefix(b), len(b), span, k)
-                raw = b.tobytes()
-                digests_ = b"".join(hashlib.blake2b(raw[f : t + span], digest_size=16).digest() for f, t in zip(first.tolist(), last.tolist(), strict=True))
-                one, two = np.frombuffer(digests_, np.int64).reshape(-1, 2).T
-                out.append((np.full(len(at), i), at, first, last, key.view(np.int64), one, two))
-            whose, *columns = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 7
-            found = pd.DataFrame(dict(zip(("at", "first", "last", *CONTEXT), columns, strict=True)))
-            found.insert(0, "id", _ids(batch["id"]).iloc[whose].to_numpy())
-            found.insert(1, "k", batch["k"].to_numpy()[whose])
-            yield found
+                if len(b) >= span:
+                    out.append((id_, of, contexts_of(b, span, k)))
+                    size += len(out[-1][2][0])
+                if size >= HANDED:
+                    yield table(out)
+                    out, size = [], 0
+            if out:
+                yield table(out)
 
     return rows.where(F.octet_length("text") >= span).mapInPandas(run, PLACED)
 
@@ -167,8 +189,8 @@ def repeated_runs(rows: DataFrame, span: int = SPAN, k: int = K, group: int = GR
     """RUNS: stretches of bytes, of any overlap, that windows with a second place cover; rows(id, k, text)."""
     placed = cut(place(rows, span, k))
     firsts = [F.first(c).alias(c) for c in ("id", "k", "at", "first", "last")]
-    classes = cut(placed.groupBy(*CONTEXT).agg(F.count("*").alias("copies"), *firsts))
-    whole = placed.join(classes.where("copies > 1").select(*CONTEXT), CONTEXT).select("id", "k", F.col("first").alias("start"), (F.col("last") + span).alias("stop"))
+    classes = cut(placed.groupBy(*CONTEXT).agg(F.sum("times").alias("copies"), *firsts))
+    whole = placed.join(classes.where("copies > 1").select(*CONTEXT), CONTEXT).select("id", "k", F.col("first").alias("start"), (F.col("ending") + span).alias("stop"))
 
     # Written first, so that the join on the anchors is one of two shuffled sides, which a common anchor splits.
     keys = cut(classes.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 AND fewest = 1").select("key", "n"))

@@ -9,7 +9,7 @@ from talefold.llm import minhash, packing
 from talefold.llm.components import components
 from talefold.llm.exact_dedup import exact_dedup
 from talefold.llm.places import tokenizer
-from talefold.llm.suffix_dedup import digests
+from talefold.llm.suffix_dedup import _rows, digests, place
 from talefold.llm.suffix_sort import pairwise, sort_strings
 
 from .common import documents, hard_rows, prose
@@ -156,6 +156,18 @@ def test_repeats(spark):
     assert digests(documents(spark, [])).collect() == []
 
 
+def test_repeats_of_periodic_texts(spark):
+    """Runs of equal contexts are one row, whatever stands around them, and count as copies of themselves."""
+    rows = [(i, prose(30, i) + unit * (2400 // len(unit)) + prose(60, 50 + i)) for i, unit in enumerate(("x", "xy", "again and ", "é", prose(70, 3), prose(12, 4)))]
+    rows += [(10, "x" * 450), (11, "y" * 450 + prose(80, 1)), (None, "xy" * 300)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+    long = documents(spark, [(1, "x" * 1_000_000), (2, "ab " * 300_000 + prose(100, 2))])
+    placed = place(_rows(long, "doc_id", "text"), 400, 64)
+    assert placed.count() < 40
+    assert {r.doc_id: r.n_bytes - r.n_removed for r in digests(long).collect()} == {1: 0, 2: len(prose(100, 2))}
+
+
 def thue_morse(n, a="a", b="b"):
     """Strings whose polynomial hashes modulo 2**64 are equal for every odd base, from 1024 letters on."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
