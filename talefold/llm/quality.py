@@ -5,14 +5,17 @@ training rows are unlabelled web text. A small network over document statistics
 minimises the non-negative unbiased risk: prior * E+[loss of 1] plus the
 unlabelled loss of 0 less the positives' share of it, where that remainder is
 kept from falling below zero by stepping back when it does. The class prior is
-estimated as the share of positives among labelled training rows.
+estimated from positives and unlabelled rows alone: a network that tells the two apart scores
+rows that it didn't learn from, and the share of unlabelled rows above a cutoff, by the share of
+positives above it, bounds the prior from above; the cutoff of the least upper
+confidence limit is taken (best bin), each half of the rows in turn. No row labelled 0 is used.
 
 The sample bounds POSITIVES and UNLABELLED are parameters; samples are chosen by
 a hash of the id from the whole table. Scoring reads every whole text.
 
 Defined cases: null and empty texts have all-zero counts and get the model's
-score for these; texts of any length are read as a whole; without positives or unlabelled rows every score is the prior,
-or 0.5 without labels; rows repeat as they come; other columns are ignored.
+score for these; texts of any length are read as a whole; without positives every score is 0, or 0.5 without labels; without
+unlabelled rows it is the share of positives among labels; rows repeat as they come; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .shingles import mix, word_hashes
 POSITIVES, UNLABELLED = 8_000, 16_000
 HIDDEN, STEPS, RATE, DECAY = 12, 300, 0.03, 1e-4
 CUTOFF = 0.3
+#: Confidence of the prior's limit, and the priors that the risk is minimised for.
+DOUBT, LEAST_PRIOR, MOST_PRIOR = 0.1, 0.02, 0.98
 
 #: Bytes by kind: upper case, lower case, digits, blank, line feed, outside ASCII, then single marks and the rest.
 KINDS = np.full(256, 6)
@@ -68,9 +73,11 @@ N_STATISTICS = len(statistics(""))
 
 
 class Model:
-    """A network with one hidden layer, or a constant where there is nothing to learn from."""
+    """A network with one hidden layer, or a constant where there is nothing to learn from.
 
-    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11):
+    With `apart` it tells positives from unlabelled rows, without taking the positives' share out."""
+
+    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11, apart: bool = False):
         self.constant = prior
         self.layers: list[np.ndarray] = []
         if not len(positives) or not len(unlabelled) or not 0 < prior < 1:
@@ -82,19 +89,19 @@ class Model:
         shapes = ((x.shape[1], HIDDEN), (HIDDEN,), (HIDDEN,), (1,))
         self.layers = [(rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or k == 2 else np.zeros(s)).astype(np.float32) for k, s in enumerate(shapes)]
         first, second = ([np.zeros_like(v) for v in self.layers] for _ in range(2))
-        p, u = len(positives), len(unlabelled)
+        p, u, share = len(positives), len(unlabelled), 0.0 if apart else prior
         for step in range(1, STEPS + 1):
             hidden = np.tanh(x @ self.layers[0] + self.layers[1])
             out = np.clip(hidden @ self.layers[2] + self.layers[3], -30, 30)
             as_one = 1 / (1 + np.exp(-out))
             loss0 = np.logaddexp(0, out)  # of calling it 0
-            rest = loss0[p:].mean() - prior * loss0[:p].mean()
+            rest = loss0[p:].mean() - share * loss0[:p].mean()
             slope = np.zeros(len(x), np.float32)
             if rest >= 0:
-                slope[:p] = prior / p * (as_one[:p] - 1) - prior / p * as_one[:p]
+                slope[:p] = prior / p * (as_one[:p] - 1) - share / p * as_one[:p]
                 slope[p:] = as_one[p:] / u
             else:  # step back from a negative remainder
-                slope[:p] = prior / p * as_one[:p]
+                slope[:p] = share / p * as_one[:p]
                 slope[p:] = -as_one[p:] / u
             inner = slope[:, None] * self.layers[2] * (1 - hidden**2)
             grads = [x.T @ inner, inner.sum(0), hidden.T @ slope, slope.sum(keepdims=True)]
@@ -114,6 +121,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.tanh(self._scaled(x) @ w + b) @ v + c, -30, 30).astype(np.float64)))
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, within LEAST_PRIOR and MOST_PRIOR."""
+    found = []
+    for side in (0, 1):
+        judge = Model(positives[side::2], unlabelled[side::2], 0.5, apart=True)
+        p, u = np.sort(judge(positives[1 - side :: 2])), np.sort(judge(unlabelled[1 - side :: 2]))
+        if not len(p) or not len(u):
+            continue
+        above_p = 1 - np.arange(len(p)) / len(p)
+        above_u = 1 - np.searchsorted(u, p) / len(u)
+        spread = np.sqrt(np.log(4 / DOUBT) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+        best = np.argmin((above_u + spread) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), LEAST_PRIOR, MOST_PRIOR)) if found else 0.5
+
+
 def _statistics_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """docs(doc_id, text); labels(doc_id, quality)."""
     known = training(labels, "quality")
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
-    prior = (ones or 0) / n if n else 0.5
+    share = (ones or 0) / n if n else 0.5
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
     sure = sample(known.where("label = 1").join(ids, "doc_id", "left_semi"), positives)
     web = sample(ids.join(known, "doc_id", "left_anti"), unlabelled)
@@ -134,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = _statistics_of(docs.join(F.broadcast(chosen), "doc_id")).toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, N_STATISTICS)
     one = rows["label"].to_numpy() == 1
-    return Model(x[one], x[~one], prior)
+    x, web_x = x[one], x[~one]
+    return Model(x, web_x, estimated_prior(x, web_x) if len(x) and len(web_x) else share)
 
 
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **sizes: int) -> Model:

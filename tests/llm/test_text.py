@@ -10,7 +10,7 @@ from talefold.llm import chat
 from talefold.llm.decontaminate import contamination
 from talefold.llm.html_text import html_text, page_text
 from talefold.llm.pii import replace_private
-from talefold.llm.quality import quality
+from talefold.llm.quality import MOST_PRIOR, estimated_prior, quality
 from talefold.llm.toxicity import Lexicon, fit, folded, toxicity
 
 from .common import documents, hard_rows, prose
@@ -153,6 +153,17 @@ def check(scored, n):
     return {r.doc_id: r.predicted for r in rows}
 
 
+def test_estimated_prior():
+    """From positives and a mixture alone, the mixture's share of positives; kinds overlap a little."""
+    rng = np.random.default_rng(3)
+    kind = lambda n, at: rng.normal(at, 1, (n, 6)).astype(np.float32)
+    for share in (0.2, 0.5, 0.85):
+        n = int(3000 * share)
+        web = rng.permutation(np.concatenate([kind(n, 1.2), kind(3000 - n, -1.2)]))
+        assert abs(estimated_prior(kind(1500, 1.2), web) - share) < 0.06
+    assert estimated_prior(kind(1, 0), kind(1, 0)) == MOST_PRIOR  # nothing tells one row from the other
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, lambda i: prose(80, i), lambda i: ("buy now!! " * 40) + prose(5, i), quality=True)
     got = check(quality(docs, labels), 603)
