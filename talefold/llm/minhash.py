@@ -153,39 +153,54 @@ def _alike(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
         yield p + i, q
 
 
+def _blocks(n: Column, most: Column) -> list[Column]:
+    """Blocks of the n classes of a bucket, and of those outside its main component, which has `most`."""
+    return [F.ceil(n / BLOCK).cast("int").alias("blocks"), F.ceil((n - most) / BLOCK).cast("int").alias("outer")]
+
+
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """placed(id, component, main, blocks, outer, ...) dealt to groups i, j of a bucket: in each, the classes outside the main
+    component of block i (left) meet all classes of block j (right). A row that is on both sides of a group is there once."""
+    rows = placed.withColumn("block", F.expr("int(pmod(xxhash64(id), blocks))")).withColumn("row", F.expr("int(pmod(xxhash64(id, 1), outer))"))
+    right = rows.withColumns({"i": F.explode(F.expr("sequence(0, outer - 1)")), "j": F.col("block")}).withColumns({"left": F.expr("component != main AND i = row"), "right": F.lit(True)})
+    left = rows.where("component != main").withColumns({"i": F.col("row"), "j": F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x != block)"))}).withColumns({"left": F.lit(True), "right": F.lit(False)})
+    return right.unionByName(left).drop("blocks", "outer", "block", "row")
+
+
 def crowded_pairs(classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """a > b: classes(id, component) of different components that share a finer bucket and may be alike; docs(doc_id, text)."""
-    fine = cut(fine_sketches(docs, words))
-    placed = fine.select("id", F.explode("fine").alias("key")).join(classes, "id")
+    # The components join before the keys are exploded: one row per class instead of FINE_BANDS.
+    fine = cut(fine_sketches(docs, words).join(classes, "id"))
+    placed = fine.select("id", "component", F.explode("fine").alias("key"))
     counts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"))
-    open_ = counts.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = counts.where("n > most").select("key", "main", *_blocks(F.col("n"), F.col("most")))
     placed = cut(placed.join(open_, "key"))
-    # A pair of blocks is one group: classes outside the main component on the left, all on the right.
-    own, each = F.expr("int(pmod(xxhash64(id), blocks))"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = placed.where("component != main").select("key", "id", "component", "main", F.lit(True).alias("left"), own.alias("i"), each.alias("j"))
-    right = placed.select("key", "id", "component", "main", F.lit(False).alias("left"), each.alias("i"), own.alias("j"))
-    sides = cut(left.unionByName(right))
+    sides = in_blocks(placed)
+    held = fine.select("id", "sketch").join(placed.groupBy("id").agg(F.collect_list("key").alias("places")), "id")
     groups = int(sides.count() // DEALT) + docs.sparkSession.sparkContext.defaultParallelism
-    dealt = sides.join(fine.select("id", "sketch"), "id").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+    dealt = sides.join(held, "id").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros((0, 2), np.int64)]
-        for _, g in rows.groupby(["key", "i", "j"], sort=False):
-            on_left = g["left"].to_numpy()
-            if not on_left.any() or on_left.all():
+        for (key, _, _), g in rows.groupby(["key", "i", "j"], sort=False):
+            a, b = (np.flatnonzero(g[side].to_numpy()) for side in ("left", "right"))
+            if not len(a) or not len(b):
                 continue
             sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
             ids, of, main = g["id"].to_numpy(), g["component"].to_numpy(), g["main"].iloc[0]
-            a, b = np.flatnonzero(on_left), np.flatnonzero(~on_left)
             for p, q in _alike(sketch[a], sketch[b]):
                 p, q = a[p], b[q]
                 keep = (of[p] != of[q]) & ((of[q] == main) | (ids[p] < ids[q]))
-                p, q = ids[p[keep]], ids[q[keep]]
+                p, q = p[keep], q[keep]
+                places = {x: set(g["places"].iloc[x]) for x in {*p.tolist(), *q.tolist()}}
+                # A pair is handed on in the first of the finer buckets that it shares.
+                once = np.fromiter((min(places[x] & places[y]) == key for x, y in zip(p.tolist(), q.tolist(), strict=True)), bool, len(p))
+                p, q = ids[p[once]], ids[q[once]]
                 found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
     # A stated number of partitions, as the work grows with the rows of a group, not with their bytes.
-    return dealt.repartition(groups, "task").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(groups, "task").groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def estimate(a: str, b: str, n: int = BANDS * ROWS, bits: int = BITS) -> Column:
@@ -249,16 +264,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = components(links)
     labelled = cut(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    places = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), (F.sum("c") - F.max("c") > CROWD).alias("crowded")).where("n > 1").drop("n")
+    places = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", "c").alias("main"), *_blocks(F.sum("c"), F.max("c")), (F.sum("c") - F.max("c") > CROWD).alias("crowded")).where("n > 1").drop("n")
     mixed = cut(labelled.join(cut(places), "key"))
     crowd, mixed = cut(mixed.where("crowded").select("id", "component").distinct()), mixed.where("NOT crowded").drop("crowded")
     unsure = texts.join(small(cut(mixed.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
     mixed = cut(mixed.join(sketches(unsure, words), "id").join(classes.select("id", "bands"), "id"))
     p, q = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "bands", "sketch")] for side in "pq")
     # A large bucket is dealt into blocks, and each two blocks meet in a group of their own.
-    own, each = F.expr("pmod(xxhash64(id), blocks)"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = mixed.where("component != main").select("key", own.cast("int").alias("i"), each.alias("j"), *p)
-    right = mixed.select("key", "main", each.alias("i"), own.cast("int").alias("j"), *q)
+    sides = in_blocks(mixed)
+    left, right = sides.where("left").select("key", "i", "j", *p), sides.where("right").select("key", "main", "i", "j", *q)
     pair = left.join(right, ["key", "i", "j"])
     once = "component_p != component_q AND (component_q = main OR id_p < id_q)"
     pair = pair.where(F.expr(once) & (estimate("sketch_p", "sketch_q", LONG, 1) >= TIGHT) & F.expr("array_min(array_intersect(bands_p, bands_q)) = key"))

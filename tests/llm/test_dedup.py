@@ -99,6 +99,31 @@ def test_crowded_pairs(spark):
     assert all(a > b and a > 2 for a, b in got)
 
 
+def test_crowded_rows_that_meet(spark, monkeypatch):
+    """Joins by id take a row per class and place, not one per finer band; blocks are as many as the classes outside the main component need."""
+    taken = []
+    frame = type(spark.range(1))
+    plain = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: taken.append(self.count() if on == "id" else 0) or plain(self, other, on, how))
+
+    def pairs(texts, component):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        taken.clear()
+        # The pairs as the tasks hand them on, before a distinct.
+        found = minhash.crowded_pairs(docs.select(F.col("doc_id").alias("id"), component.cast("long").alias("component")), docs)
+        handed = [tuple(r) for r in found.collect()]
+        assert len(handed) == len(set(handed)) and "deduplicate" not in found._jdf.queryExecution().logical().toString().lower()
+        return set(handed)
+
+    # Documents that are alike in a quarter share few of the 200 finer buckets.
+    assert pairs([template(i, 60, 60) for i in range(60)], F.col("doc_id")) == set()
+    assert sum(taken) < 60 * minhash.FINE_BANDS / 4
+    # One class outside a component of near copies meets all of them in eight blocks, which hold each copy once.
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    assert pairs([f"{prose(80, 9)} end{i}" for i in range(40)], F.when(F.col("doc_id") < 39, 0).otherwise(39)) == {(39, i) for i in range(39)}
+    assert sum(taken) <= minhash.FINE_BANDS * (40 + 8) + 2 * 40
+
+
 def test_near_chain(spark):
     """A chain of small edits is one component though its ends are unlike, and the large hot group has no lost link."""
     words = prose(150, 5).split()
