@@ -120,3 +120,22 @@ def test_titles_meet_once_and_in_slices(spark):
     assert len(whole) >= 60 and rows_of(titles.similar_titles(table, rows=16), "a", "b") == whole
     told = titles.candidates(table).first()
     assert told.alike <= told.near <= told.looked < 0.2 * len(list(itertools.combinations(rows, 2)))
+
+
+def test_grams_of_titles_are_not_broadcast(spark):
+    """Spark takes exploded grams for as small as their titles; broadcast, they fill the driver."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 30)))) for i in range(400)]
+    rows += [(1000 + i, f"xy{rows[rng.randrange(400)][1]}z") for i in range(100)] + [(2000 + i, t) for i, t in enumerate(("a", "회의", "회의 abc", "budget x", "budget", "1234567", "12345678", "123456789", ""))]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "200k")
+    try:
+        got = rows_of(titles.contained_titles(spark.createDataFrame(rows, "id long, title string")), "a", "b")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    first = {}
+    for i, t in rows:
+        key = t.replace(" ", "")
+        if key:
+            first.setdefault(key, i)
+    assert got == sorted((min(a, b), max(a, b)) for (x, a), (y, b) in itertools.permutations(first.items(), 2) if x in y)
+    assert len(got) > 200
