@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -11,6 +12,9 @@ from talefold.operators import chunking as C
 from talefold.operators import long_chunks as L
 from talefold.operators import schemas as S
 from talefold.operators import titles
+from talefold.plans import registry
+
+LARGER = "/root/testdata/sf0.1"
 
 
 def rows_of(df, *columns):
@@ -139,3 +143,13 @@ def test_grams_of_titles_are_not_broadcast(spark):
             first.setdefault(key, i)
     assert got == sorted((min(a, b), max(a, b)) for (x, a), (y, b) in itertools.permutations(first.items(), 2) if x in y)
     assert len(got) > 200
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+@pytest.mark.parametrize("name", ["title_disambiguation"])
+def test_title_queries_broadcast_no_grams(spark, name):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    try:
+        assert registry.queries()[name](spark, LARGER).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
