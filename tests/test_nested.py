@@ -14,7 +14,7 @@ from talefold.operators import schemas as S
 from talefold.operators import titles
 from talefold.plans import registry
 
-LARGER = "/root/testdata/sf0.1"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def rows_of(df, *columns):
@@ -153,3 +153,10 @@ def test_title_queries_broadcast_no_grams(spark, name):
         assert registry.queries()[name](spark, LARGER).count() > 0
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_reuse_verdicts_build_chunks_once(spark):
+    """Four tables are made of the hashes; what they read is written once."""
+    frame = registry.queries()["reuse_verdicts"](spark, DATA)
+    assert not [x for x in frame.inputFiles() if "documents" in x] and frame.count() > 0
