@@ -11,7 +11,8 @@ are written before they are used, so a reducer that calls a model is called once
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ from .reduce import CAPS, NO_ID
 
 Reducer = Callable[[pd.DataFrame], pd.DataFrame]
 REDUCED = "recording_id long, unit int, field string, pos int, text string, source_segment_ids array<int>"
+REDUCED_COLUMNS = [x.split()[0] for x in REDUCED.split(", ")]
 
 
 def union_reducer(caps: dict[str, int] | None = CAPS) -> Reducer:
@@ -46,13 +48,45 @@ def union_reducer(caps: dict[str, int] | None = CAPS) -> Reducer:
 
 
 def _reduced(units: DataFrame, reducer: Reducer) -> DataFrame:
-    """One call per recording and group of units(..., group_no)."""
+    """One call per recording and group of units(..., group_no).
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = reducer(rows.sort_values(["unit", "pos"], kind="stable")[["unit", "field", "pos", "text", "source_segment_ids"]].reset_index(drop=True))
-        return out.assign(recording_id=key[0], unit=key[1], pos=range(len(out)))[["recording_id", "unit", "field", "pos", "text", "source_segment_ids"]]
-
-    return kept(units.groupBy("recording_id", "group_no").applyInPandas(run, REDUCED))
+    Groups stream through sorted partitions, many in a batch: a batch of its own for
+    each takes longer than the call. The number of partitions is given, as few bytes may be many calls.
+    """
+    by, given = ["recording_id", "group_no"], ["unit", "field", "pos", "text", "source_segment_ids"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, parts, out = None, [], {c: [] for c in REDUCED_COLUMNS}
+
+        def call() -> None:
+            told = reducer(parts[0].reset_index(drop=True) if len(parts) == 1 else pd.concat(parts, ignore_index=True))
+            for c in ("field", "text", "source_segment_ids"):
+                out[c] += told[c].tolist()
+            for c, values in (("recording_id", [key[0]] * len(told)), ("unit", [key[1]] * len(told)), ("pos", range(len(told)))):
+                out[c] += values
+
+        for batch in batches:
+            keys, rows = list(zip(*(batch[c].tolist() for c in by), strict=True)), batch[given]
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in itertools.pairwise(starts):
+                if a == b:  # an empty batch
+                    continue
+                if parts and keys[a] != key:
+                    call()
+                    parts = []
+                key = keys[a]
+                parts.append(rows.iloc[a:b])
+            if out["pos"]:
+                yield pd.DataFrame(out)
+                out = {c: [] for c in REDUCED_COLUMNS}
+        if parts:
+            call()
+        if out["pos"]:
+            yield pd.DataFrame(out)
+
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*by, F.asc_nulls_last("unit"), F.asc_nulls_last("pos")]
+    return kept(units.select(*by, *given).repartition(tasks, *by).sortWithinPartitions(*order).mapInPandas(run, REDUCED))
 
 
 def reduce_tree(items: DataFrame, reducer: Reducer, direct: int = 12_000, limit: int = 24_000) -> DataFrame:

@@ -105,6 +105,30 @@ def test_reducer_of_the_users_own(spark):
     assert {k: r.source_segment_ids for k, r in out.items()} == ids
 
 
+def test_groups_of_the_reducer_share_batches(spark):
+    """A group is one call, whole where batches cut it, and far more groups than batches take no batch each."""
+    table = items(spark, [30] * 12)
+
+    def told(rows):
+        return pd.DataFrame({"field": ["note"], "text": [f"{len(rows)}" if rows["text"].iloc[0] != " " else None], "source_segment_ids": [[]]}).iloc[: 0 if rows["unit"].iloc[0] == 30 else 1]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        units = table.select("recording_id", F.col("chunk_no").alias("unit"), "field", "pos", "text", "source_segment_ids", F.col("chunk_no").alias("group_no"))
+        out = reduce_tree._reduced(units, told)
+        got = [(r.recording_id, r.unit, r.pos, r.source_segment_ids) for r in out.orderBy("recording_id", "unit").collect()]
+        assert got == [(k, n, 0, []) for k in range(12) for n in range(1, 30)] and {r.text for r in out.collect()} <= {"4", None}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    calls = []  # plan nodes that call Python for each group apart
+    kept_, reduce_tree.kept = reduce_tree.kept, lambda df: calls.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    try:
+        reduce_tree._reduced(units, told)
+    finally:
+        reduce_tree.kept = kept_
+    assert "MapInPandas" in calls[0] and "FlatMapGroups" not in calls[0]
+
+
 def test_daily_states_merge(spark):
     rng = random.Random(4)
     rows = [(d, d * 1000 + rng.randint(0, 300), f"t{min(rng.randint(1, 4000), rng.randint(1, 4000), rng.randint(1, 4000))}") for d in range(5) for _ in range(4000)]
