@@ -146,7 +146,7 @@ def test_grams_of_titles_are_not_broadcast(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
-@pytest.mark.parametrize("name", ["title_disambiguation", "title_groups", "title_labels"])
+@pytest.mark.parametrize("name", ["title_disambiguation", "title_groups", "title_labels", "similar_titles"])
 def test_title_queries_broadcast_no_grams(spark, name):
     spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
     try:
