@@ -160,3 +160,12 @@ def test_reuse_verdicts_build_chunks_once(spark):
     """Four tables are made of the hashes; what they read is written once."""
     frame = registry.queries()["reuse_verdicts"](spark, DATA)
     assert not [x for x in frame.inputFiles() if "documents" in x] and frame.count() > 0
+
+
+def test_titles_are_copied_in_bounds(spark):
+    """A title is in as many units of a pair of levels as there are slices, whatever number of frequent characters it has."""
+    rng = random.Random(10)
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(20))) for i in range(300)]
+    dealt = titles._dealt(titles.representatives(spark.createDataFrame(rows, "id long, title string")), titles.RATIO, 4)
+    most = dealt.where("c IS NULL").groupBy("low", "high", "id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most == titles.SLICES
